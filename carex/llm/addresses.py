@@ -41,7 +41,7 @@ TYPES = frozenset(
     "street avenue boulevard lane road drive court place terrace parkway square highway circle trail way alley crescent"
     " close row mews strasse platz allee weg gasse ring ufer rue chemin".split()
 )
-BEFORE = frozenset("saint fort mount old new great little upper lower port lake".split())
+BEFORE = frozenset("saint fort mount old olde new great little upper lower port lake".split())
 GERMAN = re.compile(r"^(\w{4,}?)(strasse|str|platz|pl|allee|weg|gasse)$")
 UNIT = re.compile(r"(?:\b(?:apartment|apt|appt|unit|suite|ste|flat|room|rm|floor|wohnung|whg)\b\.?|#)\s*(?:#|nr\.?|no\.?)?\s*(\d+\s?[a-z]?|[a-z]\d*)\b|\b(?:apt|unit|suite|ste)\.?(\d+[a-z]?|[a-z])\b", re.I)
 CARE = re.compile(r"^\s*(?:c/o|care of|attn:?|z\.?\s?hd\.?)\b", re.I)
@@ -105,6 +105,7 @@ def parse(address: dict) -> dict | None:
         if s.strip(" .,-"):
             kept.append(s)
     text = re.sub(r"\b([ns])\.\s?([ew])\.", r"\1\2 ", fold(" ".join(kept)))
+    text = re.sub(r"(?<=\w)-str\b\.?", " strasse", text)
     tokens = re.findall(r"[^\W\d_]+|\d+[a-z]?\b", text.replace("-", " "))
     numbers = [t for t in tokens if t[0].isdigit()]
     words = [t for t in tokens if not t[0].isdigit()]
@@ -148,7 +149,7 @@ def layout(street: list[str]) -> dict:
     rest = [w for k, w in enumerate(words) if not (w == kind and k > 0)]
     before = [w for w in rest if w in BEFORE]
     name = [w for w in rest if w not in BEFORE] or rest
-    if not kind and len(name) > 1:  # a type that no rewrite knows
+    if not kind and len(name) > 1 and len(name[-1]) < max(map(len, name)):  # a type that no rewrite knows
         kind, name = name[-1], name[:-1]
     return {"name": max(name, key=len), "others": sorted(x for x in name if x != max(name, key=len)), "kind": kind, "direction": direction, "before": before}
 
