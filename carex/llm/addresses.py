@@ -149,7 +149,7 @@ def layout(street: list[str]) -> dict:
     rest = [w for k, w in enumerate(words) if not (w == kind and k > 0)]
     before = [w for w in rest if w in BEFORE]
     name = [w for w in rest if w not in BEFORE] or rest
-    if not kind and len(name) > 1 and len(name[-1]) < max(map(len, name)):  # a type that no rewrite knows
+    if not kind and len(name) > 1 and (len(name[-1]) <= 4 or len(name[-1]) < max(map(len, name))):  # a type that no rewrite knows
         kind, name = name[-1], name[:-1]
     return {"name": max(name, key=len), "others": sorted(x for x in name if x != max(name, key=len)), "kind": kind, "direction": direction, "before": before}
 
@@ -206,7 +206,7 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     if len(a) != len(b) or len(a) < 2 or a == b:
         return []
     differ = [i for i in range(len(a)) if a[i] != b[i]]
-    agree = [x for i, x in enumerate(a) if i not in differ and len(x) > 3]
+    agree = [x for i, x in enumerate(a) if i not in differ and len(x) > 2]
     if len(differ) > 2 or not agree:
         return []
     out = []
