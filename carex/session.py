@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,15 +29,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WRITTEN: list[tuple] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: what the session names in spark.checkpoint.dir.
+
+    Only where that is unset (tests, a laptop) a temporary one is made.
+    """
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="carex-", dir=os.environ.get("TMPDIR"))
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared checkpoint folder and return a frame that reads it back.
+    """Write `df` once as a table in the shared folder and return a frame that reads it back.
 
-    The folder is the one the session names in spark.checkpoint.dir. Only where that is unset (tests, a
-    laptop) a temporary one is made. Lineage is cut with a file that all executors share, so a lost executor
-    costs nothing.
+    Lineage is cut, a lost executor costs nothing, later readers take only the columns they need, and the planner
+    knows the size. The tables are deleted when the session's process ends, or before by `clear_materialised`.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="carex-checkpoint-", dir=os.environ.get("TMPDIR")))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/carex-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_materialised() -> None:
+    """Delete all tables that `materialise` has written. Frames that read them can no longer be used."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001
+            return  # the session has ended; the folder is its owner's
+
+
+atexit.register(clear_materialised)
