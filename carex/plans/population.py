@@ -7,6 +7,7 @@ Nothing is run before an action, and nothing is collected but the codes of a val
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -76,7 +77,11 @@ class QueryParser(Parser):
                     terms = first
             self.need("]")
             return ("retrieve", resource, code_path, terms)
-        return ("define", self.identifier())
+        name = self.identifier()
+        while self.peek()[1] == "." and self.peek(1)[0] in ("name", "quoted"):
+            self.next()
+            name += "." + self.identifier()
+        return ("define", name)
 
     def clauses(self, sources):
         q = {"sources": sources, "relations": [], "let": [], "where": None, "return": None, "distinct": False, "aggregate": None, "sort": []}
@@ -133,6 +138,7 @@ class Population:
     as_of: str | None = None
     parameters: dict[str, Typed] = field(default_factory=dict)
     defines: dict[str, str] = field(default_factory=dict)
+    foreign: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
     _open: list[str] = field(default_factory=list)
 
     def define(self, name: str, text: str) -> Population:
@@ -145,6 +151,8 @@ class Population:
 
     def run(self, name: str) -> DataFrame:
         """The rows of a definition. Definitions may use one another, but not in a circle."""
+        if name in self.foreign:
+            return self.foreign[name]()
         if name not in self.defines:
             raise PathError(f"nothing is defined as {name!r}")
         if name in self._open:
