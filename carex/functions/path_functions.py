@@ -374,7 +374,7 @@ def _flatten(b, args, s):
 @register_function("distinctBy")
 def _distinct_by(b, args, s):
     keys = F.transform(b.array(), _lambda(b, args[0], s, text))
-    return Typed(F.filter(b.array(), lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1), b.dtype, True)
+    return Typed(F.filter(b.array(), lambda x, i: ~F.exists(F.slice(keys, F.lit(1), i), lambda k: k.eqNullSafe(F.get(keys, i)))), b.dtype, True)
 
 
 @register_function("sortBy")
@@ -832,3 +832,69 @@ def _code(b, args, s):
 def _within(b, args, s):
     x = number(b).cast("double")
     return Typed((x >= number(_arg(args, 0, s))) & (x <= number(_arg(args, 1, s))), BOOL)
+
+
+@register_function("memberOf", "inValueSet")
+def _member_of(b, args, s):
+    """Whether a code, a coding or any coding of a concept is in a list of codes."""
+    codes = _arg(args, 0, s).array().cast("array<string>")
+    if isinstance(b.dtype, T.StructType) and "coding" in b.dtype.fieldNames():
+        b = field_of(b, "coding")
+    if isinstance(b.dtype, T.StructType) and "code" in b.dtype.fieldNames():
+        b = field_of(b, "code")
+    return Typed(F.exists(b.array(), lambda c: F.array_contains(codes, F.trim(c.cast("string")))), BOOL)
+
+
+@register_function("reduceBy")
+def _reduce_by(b, args, s):
+    return _aggregate(b, args, s)
+
+
+@register_function("deepFlatten")
+def _deep_flatten(b, args, s):
+    t = b
+    while t.many and isinstance(t.dtype, T.ArrayType):
+        t = Typed(F.flatten(t.col), t.dtype.elementType, True)
+    return Typed(F.array_distinct(t.array()), t.dtype, True)
+
+
+def _by_key(name: str):
+    def fn(b, args, s):
+        other = _arg(args, 0, s)
+        keys = F.transform(other.array(), lambda y: text(compile_tree(args[1], s.inner(Typed(y, other.dtype)))))
+        mine = _lambda(b, args[1], s, text)
+        if name == "unionBy":
+            own = F.transform(b.array(), mine)
+            fresh = F.filter(other.array(), lambda y: ~F.coalesce(F.array_contains(own, text(compile_tree(args[1], s.inner(Typed(y, other.dtype))))), F.lit(False)))
+            return Typed(F.concat(b.array(), fresh.cast(T.ArrayType(b.dtype))), b.dtype, True)
+        inside = lambda x, i: F.coalesce(F.array_contains(keys, mine(x, i)), F.lit(False))
+        return Typed(F.filter(b.array(), inside if name == "intersectBy" else lambda x, i: ~inside(x, i)), b.dtype, True)
+
+    return fn
+
+
+for _name in ("unionBy", "intersectBy", "exceptBy"):
+    register_function(_name)(_by_key(_name))
+
+
+@register_function("slice")
+def _slice(b, args, s):
+    """The extensions of one address, as a named slice."""
+    return _extension(b, args[-1:], s)
+
+
+@register_function("checkModifiers")
+def _check_modifiers(b, args, s):
+    """The element itself if all its modifier extensions are among the given addresses."""
+    ext = field_of(b.one() if b.fields is None else b, "modifierExtension")
+    if ext is None:
+        return b
+    known = F.array(*[_arg(args, k, s).col for k in range(len(args))])
+    fine = F.forall(ext.array(), lambda e: F.array_contains(known, e.getField("url")))
+    return Typed(F.when(fine, b.one().col), b.dtype)
+
+
+@register_function("elementDefinition")
+def _element_definition(b, args, s):
+    return Typed(F.lit(b.dtype.simpleString()), STR)
+

@@ -139,3 +139,12 @@ def orphan_report(refs: DataFrame, targets: dict[str, DataFrame], heavy_keys: in
         .groupBy(*place)
         .agg(F.sum("n").alias("n_refs"), F.sum("orphans").alias("n_orphans"))
     )
+
+
+def resolve(rows: DataFrame, ref: Column, targets: DataFrame, key: str = "id") -> DataFrame:
+    """The rows with `resolved`, the record that a reference names; null where there is none. One record of an id
+    is taken, the greatest by content; AQE splits keys that many rows refer to."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in targets.columns])
+    once = targets.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(whole).alias("resolved"))
+    return rows.withColumn("__ref", reference_key(ref)).join(once, F.col("__ref") == F.col("__key"), "left").drop("__ref", "__key")
+

@@ -118,3 +118,30 @@ def measure_report(counts: DataFrame, measure: Measure, period: tuple[str, str])
         F.struct(F.lit(period[0]).alias("start"), F.lit(period[1]).alias("end")).alias("period"), F.array(F.struct(groups.alias("population"))).alias("group"),
     )
     return counts.select(F.to_json(doc).alias("report"))
+
+
+def cohort(members: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """How many subjects the initial population has."""
+    return members.groupBy(*(by or [])).agg(F.count_if(F.col("initial-population")).alias("cohort"))
+
+
+def nearest_rank(values: DataFrame, column: str, parts: list[float]) -> DataFrame:
+    """Percentiles that are values themselves (nearest rank)."""
+    rows = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    return rows.agg(*[F.expr(f"percentile_disc({p}) within group (order by v)").alias(f"p{round(p * 100)}") for p in parts])
+
+
+def subject_list(members: DataFrame, population: str) -> DataFrame:
+    """The subjects of a population."""
+    return members.where(F.col(f"`{population}`")).select("subject")
+
+
+def individual_reports(members: DataFrame, measure: Measure) -> DataFrame:
+    """One report document a subject."""
+    groups = F.array(*[F.struct(F.lit(p).alias("code"), F.col(f"`{p}`").cast("int").alias("count")) for p in POPULATIONS])
+    doc = F.struct(
+        F.lit("MeasureReport").alias("resourceType"), F.lit("individual").alias("type"), F.lit(measure.name).alias("measure"),
+        F.struct(F.concat(F.lit("Patient/"), F.col("subject")).alias("reference")).alias("subject"), groups.alias("population"),
+    )
+    return members.select("subject", F.to_json(doc).alias("report"))
+
