@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from carex.operators import incremental, nested, references, timestamps, units
+from carex.queries_sql import ORACLES  # noqa: F401
 from carex.session import table
 
 
@@ -59,18 +60,3 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p4_found, p5_found, p7_found)}
-
-_REFS = """with refs as (
-  select 'observation' as table_name, row_no, 'subject.reference' as field_name, subject.reference as r, received_at, 'p' as k from observation
-  union all select 'claim_response', row_no, 'patient.reference', patient.reference, received_at, 'p' from claim_response
-  union all select 'claim_response', row_no, 'insurer.reference', insurer.reference, received_at, 'o' from claim_response),
- keyed as (select *, regexp_replace(regexp_replace(regexp_replace(trim(r), '^https://fhir.example.org/r4/', ''), '/_history(/[^/]*)?$', ''), '^[A-Za-z]+/', '') as key from refs where r is not null),
- targets as (select 'p' as k, id, min(received_at) as f, min(deleted_at) as g from patient group by id
-  union all select 'o', id, min(received_at), min(deleted_at) from organization group by id),
- judged as (select keyed.*, strftime(received_at, '%Y-%m') as period, t.id is null or f > received_at or coalesce(g <= received_at, false) as orphan
-  from keyed left join targets t on t.k = keyed.k and t.id = keyed.key)"""
-
-ORACLES: dict[str, str] = {
-    "p2_found": _REFS + " select table_name, row_no, field_name, period from judged where orphan",
-    "p2_report": _REFS + " select table_name, field_name, period, count(*) as n_refs, count(*) filter (orphan) as n_orphans from judged group by 1, 2, 3",
-}
