@@ -26,7 +26,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from carex.llm.names import edits, fold, index_keys, probe_keys, similar
+from carex.llm.names import edits, features_of, fold, hashed_keys, index_keys, probe_keys, similar
 from carex.session import materialise
 
 # Directions and what is written for them in one or two letters, which no alignment can tell from initials.
@@ -282,16 +282,17 @@ def place_pairs(patient: DataFrame) -> DataFrame:
                 x = layout(rewritten(r["street"].split(), rewrites))
                 x |= {"house": r["house"], "unit": r["unit"], "zip": r["code"], "city": r["city"], "town": r["town"], "state": r["state"]}
                 features.append(json.dumps(x))
-                index.append([f"{r['house']}|{k}" for k in index_keys(x["name"])])
-                probe.append([f"{r['house']}|{k}" for k in dict.fromkeys(probe_keys(x["name"]))])
+                index.append(index_keys(x["name"]))
+                probe.append(probe_keys(x["name"]))
             extra = [pa.array(features, pa.string()), pa.array(index, pa.list_(pa.string())), pa.array(probe, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in whole), *extra], [*whole, "features", "index", "probe"])
 
     schema = ", ".join(f"{c} string" for c in whole) + ", features string, index array<string>, probe array<string>"
     laid = filled.mapInArrow(keyed, schema).withColumn("w", F.xxhash64(*whole, F.lit(1)))
     laid = materialise(laid)
-    index = laid.select(F.col("w").alias("i"), F.explode("index").alias("t")).select("i", F.xxhash64("t").alias("t"))
-    probe = laid.select(F.col("w").alias("j"), F.explode("probe").alias("t")).select("j", F.xxhash64("t").alias("t"))
+    at = laid.withColumn("houses", F.array("house"))
+    index = hashed_keys(at, "i", "w", "houses", "index")
+    probe = hashed_keys(at, "j", "w", "houses", "probe")
     met = probe.join(index, "t").where("i <> j").select(F.least("i", "j").alias("wa"), F.greatest("i", "j").alias("wb")).distinct()
     fa = laid.select(F.col("w").alias("wa"), F.col("features").alias("fa"))
     fb = laid.select(F.col("w").alias("wb"), F.col("features").alias("fb"))
@@ -300,7 +301,7 @@ def place_pairs(patient: DataFrame) -> DataFrame:
         for b in batches:
             keep, always = [], []
             for k, (x, y) in enumerate(zip(b.column("fa").to_pylist(), b.column("fb").to_pylist())):
-                x, y = json.loads(x), json.loads(y)
+                x, y = features_of(x), features_of(y)
                 if same_place(x, y, True):
                     keep.append(k)
                     always.append(same_place(x, y, False))
