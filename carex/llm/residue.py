@@ -1,13 +1,17 @@
 """Template residue and error pages in place of content (problem 10).
 
-Records made from one template are aligned: a line of a message is cut into its fixed parts and its slots, where a
-slot is a name within delimiters that stands alone, behind a label or at the end of a line. Over the whole corpus a
-slot name counts as a variable's name if it was left in place under several kinds of delimiters and in several
-records; names that are defaults of common templates count from the start. A record whose slots still hold such
-names, defaults (filler text, instructions) or blanks is flagged. Whole pages without a diff are aligned too: pages
-of one HTML skeleton give the titles that fill its slot, and plain pages that open with such a title are flagged.
+Records made from one template are aligned over the whole corpus. A line of a message is cut into its fixed parts and
+its slots, where a slot is a name within delimiters that stands alone, behind a label or at the end of a line. Lines of
+the same fixed parts give the values of one position; where these vary, the position is a slot, and a name left in it is
+flagged. A name counts as a variable's name wherever it stands as a slot if it was left under several kinds of
+delimiters and in several records, or at several such positions; names that are defaults of common templates support
+this from the start. Messages that are forms (labels with values) are aligned by their sequence of labels: a value that
+several records of different content keep, at a position that varies, is the template's default. A message is flagged if
+it is a form all of whose slots are blank or hold defaults, with nothing before it. Filler text and instructions count
+alone. Whole pages without a diff are aligned too: pages of one HTML skeleton give the titles that fill its slot, and
+plain pages that open with such a title are flagged.
 
-What a diff shows never counts, nor does a name in the middle of a sentence.
+What a diff shows never counts, nor does a name in the middle of a sentence, nor a blank slot beside filled ones.
 
 Null and edge cases: null, empty and blank texts are no cases. Line ends of any kind and a byte order mark are
 ignored. A repeated row or a doc_id with several texts comes out once if any of its texts is a case. Whole texts
@@ -16,6 +20,7 @@ are read, however long. Extra columns are ignored; an empty table gives an empty
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -90,6 +95,9 @@ STYLES = (
 )
 ANY_SLOT = re.compile("|".join(p for _, p in STYLES))
 LABELLED = re.compile(r"^[^\W\d_][\w -]{0,24}:\s+|^(?:fixes|closes|refs?|resolves|see)\s+", re.I)
+FIELD = re.compile(r"([^\W\d_][\w /-]{0,24}):(?:\s+(.*))?$")
+# Delimiters that hardly stand around anything but a variable; the others also mark tags and remarks.
+STRICT_STYLES = frozenset(("{{}}", "${}", "$()", "<%%>", "[[]]", "@@", "__", "%%"))
 HINT = re.compile(r"[{<\[@_%#]")
 
 HEADER = re.compile(
@@ -102,16 +110,18 @@ DIFF = re.compile(r"^(?:diff --git |diff -r |Index: \S|--- \S+\t?.*\n\+\+\+ |@@
 MERGE = re.compile(r"^(?:merge[d]? |revert ['\"])", re.I)
 
 
-def message_lines(text: str) -> tuple[list[str], bool]:
-    """The lines of a record's message without headers and indentation, and whether a diff follows."""
+def split_record(text: str) -> tuple[list[str], str | None]:
+    """The lines of a record's message without headers and indentation, and the diff behind it."""
     text = text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
     m = DIFF.search(text)
-    lines = []
-    for line in (text[: m.start()] if m else text).split("\n"):
-        line = line.strip()
-        if line and not HEADER.match(line):
-            lines.append(TITLED.sub("", line, count=1) if TITLED.match(line) else line)
-    return lines, m is not None
+    stripped = (line.strip() for line in (text[: m.start()] if m else text).split("\n"))
+    return [line for line in stripped if line and not HEADER.match(line)], text[m.start() :] if m else None
+
+
+def message_lines(text: str) -> tuple[list[str], bool]:
+    """The lines of a record's message without headers and indentation, and whether a diff follows."""
+    lines, diff = split_record(text)
+    return [TITLED.sub("", line, count=1) if TITLED.match(line) else line for line in lines], diff is not None
 
 
 def slot_name(raw: str) -> str:
@@ -133,6 +143,38 @@ def slots_of(line: str) -> list[tuple[str, str]]:
     return [last[2:]] if last[1] >= len(line.rstrip(" .:)")) and last[0] > 0 and line[last[0] - 1].isspace() else []
 
 
+def digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def aligned_slots(line: str) -> list[tuple[str, str]]:
+    """(fixed parts, value) of a line whose slot can be aligned with lines of other records: what stands behind a label,
+    or a name at the end of a line. The value is "s" and the name if a name was left in place, else "c" and a digest."""
+    label = LABELLED.match(line)
+    slots = slots_of(line)
+    if not slots:
+        return [(slot_name(label[0]), "c" + digest(line[label.end() :]))] if label else []
+    spans = [(m.start(), STYLES[m.lastindex - 1][0], slot_name(m.group(m.lastindex))) for m in ANY_SLOT.finditer(line)]
+    if label and label.end() <= spans[0][0] and len(slots) == len(spans) and not re.search(r"\w", ANY_SLOT.sub("", line[label.end() :])):
+        fixed, left = slot_name(label[0]), spans
+    else:
+        fixed, left = re.sub(r"\d+", "9", slot_name(line[: spans[-1][0]])), spans[-1:]
+    return [(fixed, "s" + name) for _, style, name in left if style in STRICT_STYLES and re.search(r"\w", fixed)]
+
+
+def form_of(lines: list[str]) -> list[tuple[str, str]]:
+    """(label, value) of a message that is a form: two labels or more and nothing before the first."""
+    fields: list[list[str]] = []
+    for line in lines:
+        if m := FIELD.fullmatch(line):
+            fields.append([slot_name(m[1]), m[2] or ""])
+        elif not fields:
+            return []
+        else:
+            fields[-1][1] += "\n" + line
+    return [(label, value.strip()) for label, value in fields] if len(fields) > 1 else []
+
+
 def is_filler(line: str) -> bool:
     words = re.findall(r"[^\W\d_]+", line.lower())
     if len(words) >= 6 and sum(w in FILLER_WORDS for w in words) >= 0.7 * len(words):
@@ -155,7 +197,8 @@ def skeleton(lines: list[str]) -> tuple[str, str] | None:
 
 
 def evidence(text: str | None) -> list[tuple[str, str, str]]:
-    """(kind, key, detail) of what a record shows: 'sure', or 'slot', 'title' and 'page' to be judged by the corpus."""
+    """(kind, key, detail) of what a record shows: 'sure', or 'slot', 'line', 'form', 'title' and 'page' to be judged by
+    the corpus."""
     if text is None or not text.strip():
         return []
     lines, has_diff = message_lines(text)
@@ -177,6 +220,15 @@ def evidence(text: str | None) -> list[tuple[str, str, str]]:
         elif SCRIPTS.search(line) and not SCRIPTS_ASIDE.match(line):
             out.append(("sure", "scripts", ""))
         out.extend(("slot", name, style) for style, name in slots_of(line))
+        out.extend(("line", fixed, value) for fixed, value in aligned_slots(line))
+    raw, diff = split_record(text)
+    if form := form_of(raw):
+        if not any(value for _, value in form):
+            out.append(("sure", "blank", ""))
+        else:
+            labels = digest("\n".join(label for label, _ in form))
+            changed = digest("\n".join(x for x in diff.split("\n") if x[:1] in ("+", "-")) if diff else text)
+            out.extend(("form", f"{labels}:{k}", f"{digest(value) if value else ''}:{changed}") for k, (_, value) in enumerate(form))
     return out
 
 
@@ -200,11 +252,33 @@ def evidence_rows(documents: DataFrame) -> DataFrame:
     )
 
 
+def aligned_names(lines: DataFrame, least_records: int) -> DataFrame:
+    """(doc_id, key, name) of each name left at a position that varies over the records aligned there."""
+    varying = lines.groupBy("key").agg(F.count_distinct("detail").alias("values"), F.count_distinct("doc_id").alias("records"))
+    varying = varying.where((F.col("values") > 1) & (F.col("records") >= least_records))
+    return lines.where("detail like 's%'").join(varying.select("key"), "key", "left_semi").select("doc_id", "key", F.expr("substr(detail, 2)").alias("name"))
+
+
+def form_documents(fields: DataFrame, least_records: int) -> DataFrame:
+    """(doc_id) of forms all of whose fields are blank or keep what the template had there.
+
+    A default is kept by several records of different content, at a position that has as many values beside it.
+    """
+    parts = fields.select("doc_id", "key", F.split("detail", ":")[0].alias("value"), F.split("detail", ":")[1].alias("content"))
+    kept = parts.where("value <> ''").groupBy("key", "value").agg(F.count_distinct("content").alias("n"))
+    varying = kept.groupBy("key").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= least_records)
+    defaults = kept.where(F.col("n") >= least_records).join(varying, "key", "left_semi").select("key", "value", F.lit(True).alias("own"))
+    judged = parts.join(defaults, ["key", "value"], "left").withColumn("empty", F.col("own").isNotNull() | (F.col("value") == ""))
+    of_text = judged.groupBy("doc_id", F.split("key", ":")[0].alias("form"), "content").agg(F.min("empty").alias("empty"))
+    return of_text.where("empty").select("doc_id")
+
+
 def residue_documents(documents: DataFrame, least_styles: int = 2, least_records: int = 3) -> DataFrame:
     """(doc_id) of each record in which residue stands in place of content.
 
-    least_styles, least_records: under how many kinds of delimiters and in how many records a name must have been
-    left in place to count as a variable's name; in how many records an HTML skeleton must repeat.
+    least_styles, least_records: under how many kinds of delimiters (or at how many aligned positions) and in how many
+    records a name must have been left in place to count as a variable's name; in how many records a position, a
+    default or an HTML skeleton must repeat.
     """
     from carex.session import materialise
 
@@ -213,7 +287,10 @@ def residue_documents(documents: DataFrame, least_styles: int = 2, least_records
     names = slots.groupBy("key").agg(F.count_distinct("detail").alias("styles"), F.approx_count_distinct("doc_id").alias("records"))
     defaults = F.array(*[F.lit(n) for n in DEFAULT_NAMES])
     known = names.where(F.array_contains(defaults, F.col("key")) | ((F.col("styles") >= least_styles) & (F.col("records") >= least_records)))
-    by_slot = slots.join(known.select("key"), "key", "left_semi").select("doc_id")
+    at_lines, by_form = aligned_names(rows.where("kind = 'line'"), least_records), form_documents(rows.where("kind = 'form'"), least_records)
+    induced = at_lines.groupBy("name").agg(F.count_distinct("key").alias("positions")).where(F.col("positions") >= least_styles)
+    known = known.select("key").unionByName(induced.select(F.col("name").alias("key"))).distinct()
+    by_slot = slots.join(known, "key", "left_semi").select("doc_id").unionByName(at_lines.select("doc_id")).unionByName(by_form)
     titles = rows.where("kind = 'title'")
     repeated = titles.groupBy("detail").agg(F.count_distinct("doc_id").alias("records")).where(F.col("records") >= least_records)
     pages = titles.join(repeated.select("detail"), "detail", "left_semi")

@@ -41,3 +41,20 @@ def test_long_texts_repeats_and_empty_tables(spark):
     long = "Fix x" + DIFF + "+y\n" * 200_000
     assert found(spark, [long, "{{summary}}\n" + "word " * 200_000, "{{summary}}", "{{summary}}"]) == {1, 2, 3}
     assert found(spark, []) == set()
+
+
+def test_names_are_induced_from_aligned_lines(spark):
+    left = [f"Fix x\n\nTicket: {v}" + DIFF for v in ("A-1", "B-22", "{{flurb}}")]
+    sole = ["Fix x\n\nNote: {{flurb2}}" + DIFF]
+    fixed = [f"Fix {k}\n\nSee: {{{{zork}}}}" + DIFF for k in range(3)]
+    assert found(spark, left + sole + fixed) == {2}
+
+
+def test_forms_are_aligned_by_their_labels(spark):
+    form = "Summary: {}\n\nTest plan: {}\n\nReviewers:"
+    blank = ["Summary:\n\nTest plan:\n\nReviewers:" + DIFF, "Summary:\n\nTest plan:\n"]
+    kept = [form.format("What this does", "How you know") + DIFF.replace("-a", f"-{k}") for k in range(3)]
+    own = [form.format(f"Fix {k}", f"Ran {k}") + DIFF for k in range(3)]
+    copied = [form.format("Fix again", "Ran again") + DIFF] * 3
+    mixed = [form.format("Fix z", "How you know") + DIFF, "Fix y\n\nTest plan:\n\nReviewers:" + DIFF]
+    assert found(spark, blank + kept + own + copied + mixed) == {0, 1, 2, 3, 4}
