@@ -109,8 +109,7 @@ def view_reference_keys(spark, sf):
   from fhir_resources where resource_type = 'Observation' and json_valid(resource) and json_type(resource) = 'OBJECT' and coalesce(json_type(resource, '$.code.coding'), 'ARRAY') = 'ARRAY'""")
 def view_of_json_store(spark, sf):
     ddl = "struct<id:string,status:string,subject:struct<reference:string>,code:struct<coding:array<struct<code:string>>>,valueQuantity:struct<value:double>>"
-    rows = table(spark, sf, "fhir_resources").where("schema_of_variant(try_parse_json(resource)) like 'OBJECT%'")
-    rows = rows.where("not coalesce(schema_of_variant(try_variant_get(try_parse_json(resource), '$.code.coding', 'variant')) like 'OBJECT%', false)")
+    rows = table(spark, sf, "fhir_resources")
     view = {"resource": "Observation", "select": [{"column": [{"name": "id", "path": "id"}, {"name": "status", "path": "status"}, {"name": "subject", "path": "subject.reference"}, {"name": "code", "path": "code.coding[0].code"}, {"name": "value", "path": "valueQuantity.value"}]}]}
     return view_rows(typed(rows, "Observation", ddl), view)
 

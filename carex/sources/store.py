@@ -6,7 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from time import perf_counter
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 STORE = "id string, resource_type string, resource string"
 
@@ -34,10 +34,44 @@ def _named(df: DataFrame) -> DataFrame:
     return kept.select(F.get_json_object("resource", "$.id").alias("id"), F.get_json_object("resource", "$.resourceType").alias("resource_type"), "resource").where("resource_type is not null")
 
 
+def _one_or_list(dtype: T.DataType) -> T.DataType:
+    """The type with each list read as a variant, as a lone value may stand in its place."""
+    if isinstance(dtype, T.ArrayType):
+        return T.VariantType()
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, _one_or_list(f.dataType)) for f in dtype])
+    return dtype
+
+
+def _declared(c: Column, dtype: T.DataType) -> Column:
+    """A value read with `_one_or_list` under its declared type; a lone value becomes the list's only element."""
+    if isinstance(dtype, T.ArrayType):
+        inner = dtype.elementType
+
+        def element(x: Column) -> Column:
+            if isinstance(inner, T.StructType):
+                return _declared(F.from_json(F.to_json(x), _one_or_list(inner)), inner)
+            return _declared(x, inner) if isinstance(inner, T.ArrayType) else F.try_variant_get(x, "$", inner.simpleString())
+
+        many = F.try_variant_get(c, "$", "array<variant>")
+        lone = F.when(c.isNotNull() & ~F.is_variant_null(c), F.array(c))
+        return F.transform(F.when(F.schema_of_variant(c).startswith("ARRAY"), many).otherwise(lone), element)
+    if isinstance(dtype, T.StructType) and _one_or_list(dtype) != dtype:
+        return F.when(c.isNotNull(), F.struct(*[_declared(c.getField(f.name), f.dataType).alias(f.name) for f in dtype]))
+    return c
+
+
 def typed(resources: DataFrame, resource_type: str, ddl: str) -> DataFrame:
-    """Rows of one type under a declared schema: only the named fields are parsed, and the path compiler sees them."""
-    rows = resources.where((F.col("resource_type") == resource_type) & F.expr("try_parse_json(resource) is not null"))
-    return rows.select(F.from_json("resource", ddl).alias("r")).select("r.*")
+    """Rows of one type under a declared schema: only the named fields are parsed, and the path compiler sees them.
+
+    A document wrapped in a JSON string counts as the document, and a lone value in place of a list as its element [0].
+    Documents that are unreadable or no objects have no rows.
+    """
+    value = F.try_parse_json("resource")
+    text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.col("resource"))
+    rows = resources.where(F.col("resource_type") == resource_type).select(text.alias("resource")).where("schema_of_variant(try_parse_json(resource)) like 'OBJECT%'")
+    schema = T._parse_datatype_string(ddl)
+    return rows.select(F.from_json("resource", _one_or_list(schema)).alias("r")).select(*[_declared(F.col("r").getField(f.name), f.dataType).alias(f.name) for f in schema])
 
 
 def inferred_schema(resources: DataFrame, resource_type: str) -> str:

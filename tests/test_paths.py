@@ -168,6 +168,20 @@ def test_store_and_terminology(spark, tmp_path):
     assert ("a", "d") in rows(closure) and ("d", "d") in rows(closure) and closure.count() == 10
 
 
+def test_typed_reads_wrapped_documents_and_lone_values(spark):
+    import json
+
+    listed = {"id": "1", "code": {"coding": [{"code": "A", "n": ["x", None]}, {"code": "B"}]}}
+    lone = {"id": "2", "code": {"coding": {"code": "C", "n": "y"}}}
+    bare = [{"id": "4", "code": {"coding": None}}, {"id": "5", "code": None}, {"id": "6", "code": {"coding": []}}]
+    texts = [json.dumps(listed), json.dumps(lone), json.dumps(json.dumps(lone | {"id": "3"})), *map(json.dumps, bare), "{broken", '"text"', "[1]", "null", None]
+    store_rows = spark.createDataFrame([(str(k), "Observation", t) for k, t in enumerate(texts)], store.STORE)
+    got = store.typed(store_rows, "Observation", "struct<id:string,code:struct<coding:array<struct<code:string,n:array<string>>>>>").selectExpr("id", "code.coding.code as c", "code.coding.n as n")
+    assert {r.id: (r.c, r.n) for r in got.collect()} == {
+        "1": (["A", "B"], [["x", None], None]), "2": (["C"], [["y"]]), "3": (["C"], [["y"]]), "4": (None, None), "5": (None, None), "6": ([], []),
+    }
+
+
 def test_stream_of_a_view(spark, people, tmp_path):
     from carex.streaming.flows import stream_of, stream_view
 
