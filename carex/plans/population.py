@@ -171,7 +171,8 @@ class Population:
         return df if terms is None else self.in_value_set(df, terms, code_path or "code")
 
     def in_value_set(self, df: DataFrame, name: str, code_path: str = "code") -> DataFrame:
-        """Rows with a code of the value set: a literal list where it is small, a semi-join beyond."""
+        """Rows with a code of the value set: a literal list where it is small, semi-joins beyond. A code of the set that
+        has no system matches under any."""
         codes = self.value_sets.where(F.col("valueset") == name).select("system", F.col("code").alias("vs_code")).distinct()
         few = codes.limit(MOST_CODES + 1).collect()
         path = F.col(code_path).getField("coding") if "coding" not in code_path else F.col(code_path)
@@ -180,7 +181,10 @@ class Population:
             pairs = [f"{r.system}|{r.vs_code}" for r in few if r.system is not None]
             return df.where(F.exists(path, lambda c: F.trim(c["code"]).isin(wanted or [None]) | F.concat(c["system"], F.lit("|"), F.trim(c["code"])).isin(pairs or [None])))
         keyed = df.withColumn("__row", F.monotonically_increasing_id())
-        hits = keyed.select("__row", F.explode(path).alias("c")).join(codes, (F.col("c.system") == F.col("system")) & (F.trim("c.code") == F.col("vs_code")), "left_semi")
+        coded = keyed.select("__row", F.explode(path).alias("c")).select("__row", F.col("c.system").alias("c_system"), F.trim("c.code").alias("c_code"))
+        of_system = coded.join(codes.where("system is not null"), (F.col("c_system") == F.col("system")) & (F.col("c_code") == F.col("vs_code")), "left_semi")
+        of_any = coded.join(codes.where("system is null"), F.col("c_code") == F.col("vs_code"), "left_semi")
+        hits = of_system.unionByName(of_any)
         return keyed.join(hits.select("__row").distinct(), "__row", "left_semi").drop("__row")
 
     def _run(self, tree) -> DataFrame:

@@ -182,6 +182,17 @@ def test_typed_reads_wrapped_documents_and_lone_values(spark):
     }
 
 
+@pytest.mark.parametrize("most", [1000, 1])
+def test_codes_without_system_match_any_system_in_value_sets_of_any_size(spark, monkeypatch, most):
+    from carex.plans import population
+
+    monkeypatch.setattr(population, "MOST_CODES", most)
+    coded = [(1, [("s", "A")]), (2, [("t", "A")]), (3, [("t", " H ")]), (4, [(None, "H")]), (5, [("t", "B"), ("s", "C")]), (6, None), (7, []), (8, [(None, "A")])]
+    obs = spark.createDataFrame([(k, (c,)) for k, c in coded], "id int, code struct<coding:array<struct<system:string,code:string>>>")
+    sets = terms.value_set(spark, "v", [("s", "A"), (None, "H"), ("s", "C")])
+    assert rows(population.Population({"Observation": obs}, sets).query('[Observation: "v"] o return o.id')) == [(1,), (3,), (4,), (5,)]
+
+
 def test_stream_of_a_view(spark, people, tmp_path):
     from carex.streaming.flows import stream_of, stream_view
 
