@@ -54,8 +54,7 @@ def path_codecs(spark, sf):
 @query("""select id, case length(birthDate) when 4 then birthDate || '-01-01' when 7 then birthDate || '-01' when 10 then birthDate || 'T00:00:00.000+14:00' end as low,
   case length(birthDate) when 4 then birthDate || '-12-31' when 10 then birthDate || 'T23:59:59.999-12:00' end as high from patient where regexp_full_match(birthDate, '[0-9]{4}(-[0-9]{2}-[0-9]{2})?')""")
 def path_boundaries(spark, sf):
-    rows = table(spark, sf, "patient").where(F.col("birthDate").rlike("^[0-9]{4}(-[0-9]{2}-[0-9]{2})?$"))
-    return _paths(rows, "Patient", id="id", low="birthDate.lowBoundary()", high="birthDate.highBoundary()")
+    return _paths(table(spark, sf, "patient"), "Patient", id="id", low="birthDate.lowBoundary()", high="birthDate.highBoundary()")
 
 
 @query("""select row_no, valueQuantity.unit as unit, valueString as string_value, valueQuantity is not null as is_quantity, valueString is not null as is_string from observation""")
@@ -98,8 +97,7 @@ def date_arithmetic(spark, sf):
 
 @query("""select id, cast(extract(year from age(timestamp '2025-07-01', cast(birthDate as timestamp))) as bigint) as age from patient where regexp_full_match(birthDate, '(19|20)[0-9]{2}-(0[1-9]|1[0-2])-(0[1-9]|1[0-9]|2[0-8])')""")
 def date_ages(spark, sf):
-    rows = table(spark, sf, "patient").where(F.col("birthDate").rlike("^(19|20)[0-9]{2}-(0[1-9]|1[0-2])-(0[1-9]|1[0-9]|2[0-8])$"))
-    return _paths(rows, "Patient", id="id", age="AgeInYears()")
+    return _paths(table(spark, sf, "patient"), "Patient", id="id", age="AgeInYears()")
 
 
 def _numbers(spark, sf):

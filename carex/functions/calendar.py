@@ -47,22 +47,26 @@ def plus(at: Column, amount: Column, unit: str) -> Column:
     return F.timestamp_add(unit.upper(), amount.cast("int"), at)
 
 
+_CLOCK = r"([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?"
+_ZONE = r"(Z|[+-]\d\d:\d\d)"
+
+
+def end_days(text: Column) -> tuple[Column, Column, Column]:
+    """(size, first, last): the days at the ends of a date text of any precision; null if it denotes no date.
+
+    size is 4 for a year, 7 for a month, 10 for a day or a moment of that day."""
+    size = F.when(text.rlike(r"^\d{4}$"), 4).when(text.rlike(r"^\d{4}-\d\d$"), 7).when(text.rlike(rf"^\d{{4}}-\d\d-\d\d([T ]{_CLOCK}{_ZONE}?)?$"), 10)
+    first = F.concat(F.substring(text, 1, 10), F.when(size == 4, "-01-01").when(size == 7, "-01").when(size == 10, "")).try_cast("date")
+    last = F.when(size == 4, F.concat(text, F.lit("-12-31")).try_cast("date")).when(size == 7, F.last_day(first)).otherwise(first)
+    return size, first, last
+
+
 def boundary(text: Column, high: bool) -> Column:
-    """The earliest or latest text that a date, moment or time of any precision may stand for."""
-    size = F.length(text)
-    end = F.date_format(F.last_day(F.concat(text, F.lit("-01")).try_cast("date")), "yyyy-MM-dd")
-    month = end if high else F.concat(text, F.lit("-01"))
-    year = F.concat(text, F.lit("-12-31" if high else "-01-01"))
-    clock, zone = ("T23:59:59.999", "-12:00") if high else ("T00:00:00.000", "+14:00")
-    time = text.rlike(r"^\d\d:\d\d")
-    return (
-        F.when(time & (size == 5), F.concat(text, F.lit(":59.999" if high else ":00.000")))
-        .when(time & (size == 8), F.concat(text, F.lit(".999" if high else ".000")))
-        .when(time, text)
-        .when(size == 4, year)
-        .when(size == 7, month)
-        .when(size == 10, F.concat(text, F.lit(clock + zone)))
-        .when(size == 16, F.concat(text, F.lit((":59.999" if high else ":00.000") + zone)))
-        .when(size == 19, F.concat(text, F.lit((".999" if high else ".000") + zone)))
-        .otherwise(text)
-    )
+    """The earliest or latest text that a date, moment or time of any precision may stand for; null for other texts."""
+    size, first, last = end_days(text)
+    clock, zone = F.regexp_extract(text, rf"(?:^|[T ])({_CLOCK}){_ZONE}?$", 1), F.regexp_extract(text, rf":\d\d(?:\.\d+)?{_ZONE}$", 1)
+    whole = "23:59:59.999" if high else "00:00:00.000"
+    filled = F.concat(clock, F.substring(F.lit(whole), F.length(clock) + 1, F.lit(12)))
+    day = F.date_format(last if high else first, "yyyy-MM-dd")
+    moment = F.concat(day, F.lit("T"), filled, F.when(zone != "", zone).otherwise("-12:00" if high else "+14:00"))
+    return F.when(text.rlike(rf"^{_CLOCK}$"), filled).when(size < 10, day).when(size == 10, moment)

@@ -665,7 +665,11 @@ def _age(unit: str):
     def fn(b, args, s):
         born = b if b.fields is None else field_of(b, "birthDate")
         at = moment(_arg(args, 0, s)) if args else _now(b, [], s).col
-        return Typed(cal.duration(unit, moment(born), at), LONG)
+        if not isinstance(born.dtype, T.StringType):
+            return Typed(cal.duration(unit, moment(born), at), LONG)
+        # A year or a month has an age only if its first and its last day give the same.
+        most, least = (cal.duration(unit, x.cast("timestamp_ntz"), at) for x in cal.end_days(born.one().col)[1:])
+        return Typed(F.when(least == most, most), LONG)
 
     return fn
 

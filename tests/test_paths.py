@@ -193,6 +193,22 @@ def test_codes_without_system_match_any_system_in_value_sets_of_any_size(spark,
     assert rows(population.Population({"Observation": obs}, sets).query('[Observation: "v"] o return o.id')) == [(1,), (3,), (4,), (5,)]
 
 
+def test_ages_and_boundaries_of_all_texts(spark, tmp_path):
+    from carex import catalog_functions as functions
+
+    zero, end = "T00:00:00.000+14:00", "T23:59:59.999-12:00"
+    cases = {  # birth date: (low, high, age on 2025-07-01)
+        "1954": ("1954-01-01", "1954-12-31", None), "1962-10": ("1962-10-01", "1962-10-31", 62), "2024-02": ("2024-02-01", "2024-02-29", 1), "2023-13": (None, None, None),
+        "2004-02-29": ("2004-02-29" + zero, "2004-02-29" + end, 21), "1990-06-30": ("1990-06-30" + zero, "1990-06-30" + end, 35), "1990-07-31": ("1990-07-31" + zero, "1990-07-31" + end, 34),
+        "1893-11-23": ("1893-11-23" + zero, "1893-11-23" + end, 131), "1971-02-30": (None, None, None), "1900-00-00": (None, None, None), "04/05/1946": (None, None, None), "20071212": (None, None, None), "unknown": (None, None, None), None: (None, None, None),
+        "1998-02-08T00:00:00.000": ("1998-02-08" + zero, "1998-02-08T00:00:00.000-12:00", 27), "1998-02-08T10:30Z": ("1998-02-08T10:30:00.000Z", "1998-02-08T10:30:59.999Z", 27),
+    }
+    spark.createDataFrame([(str(t), t) for t in cases], "id string, birthDate string").write.parquet(str(tmp_path / "patient.parquet"))
+    bounds = {r.id: (r.low, r.high) for r in functions.path_boundaries(spark, str(tmp_path)).collect()}
+    ages = {r.id: r.age for r in functions.date_ages(spark, str(tmp_path)).collect()}
+    assert {t: (*bounds[t], ages[t]) for t in bounds} == {str(t): c for t, c in cases.items()}
+
+
 def test_stream_of_a_view(spark, people, tmp_path):
     from carex.streaming.flows import stream_of, stream_view
 
