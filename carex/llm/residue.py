@@ -183,17 +183,17 @@ def is_filler(line: str) -> bool:
 
 
 def page_mask(line: str) -> str:
-    """A line of a page with what varies (numbers, hashes) masked."""
-    return re.sub(r"\d+", "9", re.sub(r"\b(?=[0-9a-f]*\d)[0-9a-f]{7,40}\b", "h", line.lower()))[:200]
+    """A line of a page, or a whole one, with what varies (numbers, hashes) masked."""
+    return re.sub(r"\d+", "9", re.sub(r"\b(?=[0-9a-f]*\d)[0-9a-f]{7,40}\b", "h", line.lower()))
 
 
 def skeleton(lines: list[str]) -> tuple[str, str] | None:
-    """(skeleton, title) of an HTML page: its lines with the title's text as slot."""
+    """(skeleton, title) of an HTML page: a digest of all its lines with the title's text as slot."""
     page = "\n".join(lines)
     m = re.search(r"<title>\s*(.*?)\s*</title>", page, re.I | re.S)
     if not m or not m[1]:
         return None
-    return page_mask(page.replace(m[1], "\0")), page_mask(m[1])
+    return digest(page_mask(page.replace(m[1], "\0"))), page_mask(m[1])
 
 
 def evidence(text: str | None) -> list[tuple[str, str, str]]:
@@ -205,21 +205,22 @@ def evidence(text: str | None) -> list[tuple[str, str, str]]:
     if not lines:
         return []
     out: list[tuple[str, str, str]] = []
+    tags = not has_diff and re.match(r"<(?:!doctype|html)", lines[0], re.I) is not None  # names in <> are no slots
     if not has_diff and not MERGE.match(lines[0]):
         whole = "\n".join(lines)
         if TITLE.fullmatch(lines[0]) or ERROR_OBJECT.fullmatch(whole):
             out.append(("sure", "page", ""))
         if (s := skeleton(lines)) is not None:
-            if TITLE.fullmatch(s[1].replace("9", "4").replace("444", "404")) or re.match(r"<(?:!doctype|html)", lines[0], re.I):
+            if TITLE.fullmatch(s[1].replace("9", "4").replace("444", "404")) or tags:
                 out.append(("title", s[1], s[0]))
-        elif len(lines) <= 12:
+        else:
             out.append(("page", page_mask(lines[0]), ""))
     for line in lines:
         if TOOL.fullmatch(line) or INSTRUCTION.fullmatch(line) or is_filler(line):
             out.append(("sure", "line", ""))
         elif SCRIPTS.search(line) and not SCRIPTS_ASIDE.match(line):
             out.append(("sure", "scripts", ""))
-        out.extend(("slot", name, style) for style, name in slots_of(line))
+        out.extend(("slot", name, style) for style, name in slots_of(line) if not (tags and style == "<>"))
         out.extend(("line", fixed, value) for fixed, value in aligned_slots(line))
     raw, diff = split_record(text)
     if form := form_of(raw):

@@ -58,3 +58,12 @@ def test_forms_are_aligned_by_their_labels(spark):
     copied = [form.format("Fix again", "Ran again") + DIFF] * 3
     mixed = [form.format("Fix z", "How you know") + DIFF, "Fix y\n\nTest plan:\n\nReviewers:" + DIFF]
     assert found(spark, blank + kept + own + copied + mixed) == {0, 1, 2, 3, 4}
+
+
+def test_whole_pages_are_compared(spark):
+    head = "<html>\n<head>\n" + '<meta name="viewport" content="width">\n' * 12
+    other = [head + f"<title>Guide {w}</title></head>\n<body>\n<p>About {w} {w}.</p>\n</body>\n</html>" for w in ("apples", "pears", "plums")]
+    page = head + "<title>{}</title></head>\n<body>\n<h1>{}</h1>\n</body>\n</html>"
+    same = [page.format(t, t) for t in ("Upstream is asleep", "Upstream is asleep", "Gone fishing")]
+    long = ["Gone fishing\n" + "Back at some time.\n" * 20]
+    assert found(spark, other + same + long) == {3, 4, 5, 6}
