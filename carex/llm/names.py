@@ -230,8 +230,8 @@ def shared_keys(r: dict) -> list[str]:
 
 
 def indexed_parts(r: dict) -> list[str]:
-    """The three longest parts of a name, wherever they stand, and the names that its nicknames stand for."""
-    parts = sorted({p for p in r["family"] + r["given"] if len(p) >= 3}, key=lambda p: (-len(p), p))[:3]
+    """The parts of a name of three letters or more, wherever they stand, and the names that its nicknames stand for."""
+    parts = sorted({p for p in r["family"] + r["given"] if len(p) >= 3}, key=lambda p: (-len(p), p))
     return list(dict.fromkeys(parts + [full for p in r["given"] + r["family"] for full in NICKNAMES.get(p, "").split()]))
 
 
@@ -377,24 +377,27 @@ def _judge(pairs: DataFrame, features: DataFrame, mild: bool) -> DataFrame:
     return pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", "fa", "fb").mapInArrow(verify, "id_a string, id_b string")
 
 
-def person_pairs(patient: DataFrame, sites: DataFrame, rounds: int = 2) -> DataFrame:
+def person_pairs(patient: DataFrame, sites: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: the pairs of ids that are one person.
 
-    sites: the fixed table of sources, for the order of day and month. rounds: how often records that agree with a
-    third one are compared again; groups of up to 2^rounds + 1 links in a chain come out whole.
+    sites: the fixed table of sources, for the order of day and month. Records that agree with a third one are compared
+    again until no pair is new, so groups come out whole however long their chains are.
     """
     every = materialise(_features(patient, sites))
     index = hashed_keys(every, "i", "id", "shared", "index")
     probe = hashed_keys(every, "j", "id", "shared", "probe")
     met = probe.join(index, "t").where("i <> j").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
     features = every.select("id", "features")
-    links = materialise(_judge(met.distinct(), features, mild=False))
-    for _ in range(rounds):
-        both = links.select(F.col("id_a").alias("m"), F.col("id_b").alias("n")).unionByName(links.select(F.col("id_b").alias("m"), F.col("id_a").alias("n")))
-        via = both.alias("x").join(both.alias("y"), F.col("x.m") == F.col("y.m")).where("x.n < y.n")
-        more = via.select(F.col("x.n").alias("id_a"), F.col("y.n").alias("id_b")).distinct().join(links, ["id_a", "id_b"], "left_anti")
+    links = fresh = materialise(_judge(met.distinct(), features, mild=False))
+    while not fresh.isEmpty():
+        # What is compared again meets through a fresh link; the other pairs were compared in an earlier round.
+        via = _both_ways(fresh).alias("x").join(_both_ways(links).alias("y"), F.col("x.m") == F.col("y.m")).where("x.n <> y.n")
+        more = via.select(F.least("x.n", "y.n").alias("id_a"), F.greatest("x.n", "y.n").alias("id_b")).distinct().join(links, ["id_a", "id_b"], "left_anti")
         fresh = materialise(_judge(more, features, mild=True))
-        if fresh.isEmpty():
-            break
         links = links.unionByName(fresh)
     return links
+
+
+def _both_ways(links: DataFrame) -> DataFrame:
+    """(m, n): each pair in both orders."""
+    return links.select(F.col("id_a").alias("m"), F.col("id_b").alias("n")).unionByName(links.select(F.col("id_b").alias("m"), F.col("id_a").alias("n")))

@@ -76,3 +76,17 @@ def test_variants_and_look_alikes(spark):
 
 def test_empty_table(spark):
     assert pairs(spark, []) == set()
+
+
+def test_every_part_of_a_name_is_looked_up(spark):
+    rows = [
+        patient("a1", "Montgomery-Smythe", ["Ann", "Elizabeth"], "1960-03-04", None, "ann@example.org"),
+        patient("a2", "Cook", ["Ann"], "1960-03-04", None, "ann@example.org"),
+    ]
+    assert pairs(spark, rows) == {("a1", "a2")}
+
+
+def test_long_chains_come_out_whole(spark):
+    phones = [("phone", f"212-555-01{k:02}", None) for k in range(9)]
+    rows = [patient(f"a{k}", "Thornbury", ["Margaret"])[:4] + (phones[k : k + 2],) + patient("", "", [])[5:] for k in range(8)]
+    assert pairs(spark, rows) == set(itertools.combinations([f"a{k}" for k in range(8)], 2))
