@@ -29,7 +29,7 @@ _ELEMENTS = rf"""with docs as (select id, case when not json_valid(resource) the
 
 # What each spelling means is counted from rows that have a code beside it, so the SQL needs no list of spellings.
 _NUMBER = r"'([0-9]+(?:[.,][0-9]+)?)\s*([^0-9]*)'"
-_PLAIN = r"'\s+|\.$|\s*\(measured\)\s*$', '', 'g'"
+_PLAIN = r"'\s+|\.?\s*\(measured\)\s*$|\.$', '', 'g'"
 _QUANTITIES = rf"""with o as (select row_no, [trim(c.code) for c in code.coding if c.system = 'urn:oid:2.16.840.1.113883.6.1' and trim(c.code) in ('29463-7', '8302-2', '8310-5', '4548-4', '2345-7', '2160-0', '8480-6', '718-7')][1] as own,
    [trim(c.code) for c in code.coding if c.system = 'http://lab.example.org/local'][1] as local, cast(valueQuantity.value as double) as v, nullif(trim(valueQuantity.code), '') as ucum, valueQuantity.unit as unit, valueString as s, code.text as text,
    [n.text for n in note if n.text is not null][1] as remark from observation),
