@@ -1,21 +1,27 @@
 """Template residue and error pages in place of content (problem 10).
 
-Records made from one template are aligned over the whole corpus. A line of a message is cut into its fixed parts and
-its slots, where a slot is a name within delimiters that stands alone, behind a label or at the end of a line. Lines of
-the same fixed parts give the values of one position; where these vary, the position is a slot, and a name left in it is
-flagged. A name counts as a variable's name wherever it stands as a slot if it was left under several kinds of
-delimiters and in several records, or at several such positions; names that are defaults of common templates support
-this from the start. Messages that are forms (labels with values) are aligned by their sequence of labels: a value that
-several records of different content keep, at a position that varies, is the template's default. A message is flagged if
-it is a form all of whose slots are blank or hold defaults, with nothing before it. Filler text and instructions count
-alone. Whole pages without a diff are aligned too: pages of one HTML skeleton give the titles that fill its slot, and
-plain pages that open with such a title are flagged.
+Records made from one template are aligned over the whole corpus, and only what is aligned with other records decides.
+
+* Lines of a message are cut into fixed parts and slots; lines of the same fixed parts give the values of one position,
+  and where these vary, the position is a slot. A name within delimiters that is left in it is flagged. A name counts as
+  a variable's name wherever it stands as a slot if it was left under several kinds of delimiters and in several
+  records, or at several such positions.
+* Messages that are forms (labels with values) are aligned by their sequence of labels. A value that several records of
+  different content keep, at a position that varies, is the template's default. A form all of whose slots are blank or
+  hold defaults is flagged if its sequence of labels is that of several records of different content.
+* Patterns of instructions, filler, tools' messages and notices about scripts only propose a line. It is flagged if its
+  skeleton (numbers and hashes masked) stands in several records of different content; prose that merely speaks of such
+  things stands in one.
+* Pages without a diff: HTML pages of one skeleton over all their lines give the titles that fill its slot, and plain
+  pages that open with such a title are flagged. A page that opens with an error's title is proposed, and flagged if the
+  title recurs and each of its further lines is aligned, up to one varying word, with lines of other such pages.
 
 What a diff shows never counts, nor does a name in the middle of a sentence, nor a blank slot beside filled ones.
 
 Null and edge cases: null, empty and blank texts are no cases. Line ends of any kind and a byte order mark are
-ignored. A repeated row or a doc_id with several texts comes out once if any of its texts is a case. Whole texts
-are read, however long. Extra columns are ignored; an empty table gives an empty result.
+ignored. A repeated row or a doc_id with several texts comes out once if any of its texts is a case. Copies of one
+commit count as one record. Whole texts are read, however long. Extra columns are ignored; an empty table gives an
+empty result. A template that the corpus shows fewer than `least_records` times is not told from content.
 """
 
 from __future__ import annotations
@@ -27,12 +33,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-# Names that templates of commit messages leave to be filled in.
-DEFAULT_NAMES = (
-    "summary", "change summary", "short description", "description", "describe the change", "what and why", "title",
-    "insert title here", "type", "scope", "component", "reviewer", "ticket id", "issue key", "user name", "your name",
-    "commit message", "release notes", "name", "author", "subject", "body", "footer",
-)
+from carex.session import materialise
+
 # Words of the usual filler text.
 FILLER_WORDS = frozenset(
     """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna
@@ -65,7 +67,6 @@ SCRIPTS = re.compile(
     r"|javascriptを有効|(?:请)?(?:启用|开启) ?javascript|(?:habilite|active|ative) (?:o )?javascript",
     re.I,
 )
-SCRIPTS_ASIDE = re.compile(r"^(?:add|fix|remove|handle|show|drop|make|document|test|use|replace|update|revert|avoid)\b", re.I)
 TOOL = re.compile(
     r"fatal: (?:bad object|not a git repository|unable to|could not|repository|remote).*"
     r"|abort: (?:unknown revision|error|repository|http).*|svn: e\d+: .*"
@@ -87,18 +88,18 @@ INSTRUCTION = re.compile(
 )
 REPEATED = re.compile(r"(\w+)(?:[\s.,;-]+\1){2,}[.\s]*", re.I)
 
-_INNER = r"\s*([^\W\d_][\w .\-]{0,48}?)\s*"
+_INNER = r"\s*([^\W\d_][\w .\-]*?)\s*"
 STYLES = (
     ("{{}}", rf"\{{\{{{_INNER}\}}\}}"), ("${}", rf"\$\{{{_INNER}\}}"), ("$()", rf"\$\({_INNER}\)"), ("<%%>", rf"<%=?{_INNER}%>"),
     ("[[]]", rf"\[\[{_INNER}\]\]"), ("@@", rf"@@{_INNER}@@"), ("__", rf"__{_INNER}__"), ("%%", rf"%{_INNER}%"),
     ("[]", rf"\[{_INNER}\]"), ("{}", rf"\{{{_INNER}\}}"), ("<>", rf"<{_INNER}>"), ("##", rf"##{_INNER}##"),
 )
 ANY_SLOT = re.compile("|".join(p for _, p in STYLES))
-LABELLED = re.compile(r"^[^\W\d_][\w -]{0,24}:\s+|^(?:fixes|closes|refs?|resolves|see)\s+", re.I)
-FIELD = re.compile(r"([^\W\d_][\w /-]{0,24}):(?:\s+(.*))?$")
+LABELLED = re.compile(r"^[^\W\d_][\w -]*:\s+|^(?:fixes|closes|refs?|resolves|see)\s+", re.I)
+FIELD = re.compile(r"([^\W\d_][\w /-]*):(?:\s+(.*))?$")
 # Delimiters that hardly stand around anything but a variable; the others also mark tags and remarks.
 STRICT_STYLES = frozenset(("{{}}", "${}", "$()", "<%%>", "[[]]", "@@", "__", "%%"))
-HINT = re.compile(r"[{<\[@_%#]")
+HINT = re.compile(r"[{<\[@_%#$]")
 
 HEADER = re.compile(
     r"commit [0-9a-f]{7,40}$|(?:author|date|from|to|cc|user|changeset|branch|parent|tag|author ?date|commit(?:ter)?(?: ?date)?|message-id|x-[\w-]+|index)\s*:\s"
@@ -175,11 +176,16 @@ def form_of(lines: list[str]) -> list[tuple[str, str]]:
     return [(label, value.strip()) for label, value in fields] if len(fields) > 1 else []
 
 
-def is_filler(line: str) -> bool:
+def proposal(line: str) -> str | None:
+    """The skeleton of a line that looks like residue; the corpus decides."""
     words = re.findall(r"[^\W\d_]+", line.lower())
     if len(words) >= 6 and sum(w in FILLER_WORDS for w in words) >= 0.7 * len(words):
-        return True
-    return bool(REPEATED.fullmatch(line))
+        return "filler"
+    if REPEATED.fullmatch(line):
+        return "one word repeated"
+    if TOOL.fullmatch(line) or INSTRUCTION.fullmatch(line) or SCRIPTS.search(line):
+        return page_mask(re.sub(r"</?[a-z]+>", "", line)).strip()
+    return None
 
 
 def page_mask(line: str) -> str:
@@ -196,40 +202,56 @@ def skeleton(lines: list[str]) -> tuple[str, str] | None:
     return digest(page_mask(page.replace(m[1], "\0"))), page_mask(m[1])
 
 
+def leaves(lines: list[str]) -> list[list[str]]:
+    """For each line its keys: the masked line with one word, each in turn, left open."""
+    out = []
+    for line in lines:
+        words = page_mask(line).split()
+        before, behind = [hashlib.blake2b(digest_size=8)], [hashlib.blake2b(digest_size=8)]
+        for sums, order in ((before, words), (behind, words[::-1])):
+            for w in order:
+                sums.append(sums[-1].copy())
+                sums[-1].update(w.encode("utf-8", "surrogatepass") + b" ")
+        n = len(words)
+        out.append([f"{n}:{k}:{before[k].hexdigest()}{behind[n - k - 1].hexdigest()}" for k in range(n)])
+    return out
+
+
 def evidence(text: str | None) -> list[tuple[str, str, str]]:
-    """(kind, key, detail) of what a record shows: 'sure', or 'slot', 'line', 'form', 'title' and 'page' to be judged by
-    the corpus."""
+    """(kind, key, detail) of what a record shows, to be judged by the corpus: 'told' (a proposed skeleton and the
+    record's content), 'leaf' (a line of a proposed page), 'slot', 'line', 'form', 'title' and 'page'. A content of
+    '' stands for a record that is nothing but proposed lines and tags."""
     if text is None or not text.strip():
         return []
     lines, has_diff = message_lines(text)
     if not lines:
         return []
     out: list[tuple[str, str, str]] = []
+    raw, diff = split_record(text)
+    changed = digest("\n".join(x for x in diff.split("\n") if x[:1] in ("+", "-")) if diff else "\n".join(raw))
+    proposed = [proposal(line) for line in lines]
+    content = changed if diff or any(p is None and not re.fullmatch(r"(?:<[^>]*>\s*)+", x) for p, x in zip(proposed, lines)) else ""
     tags = not has_diff and re.match(r"<(?:!doctype|html)", lines[0], re.I) is not None  # names in <> are no slots
     if not has_diff and not MERGE.match(lines[0]):
         whole = "\n".join(lines)
-        if TITLE.fullmatch(lines[0]) or ERROR_OBJECT.fullmatch(whole):
-            out.append(("sure", "page", ""))
+        if ERROR_OBJECT.fullmatch(whole):
+            out.append(("told", "object:" + re.sub(r'(?<=:)\s*"[^"]*"', "s", page_mask(whole)), ""))
+        if TITLE.fullmatch(lines[0]):
+            out.append(("told", "page:" + page_mask(lines[0]), content))
+            out.extend(("leaf", key, f"{content}:{k}:{len(lines) - 1}") for k, keys in enumerate(leaves(lines[1:])) for key in keys)
         if (s := skeleton(lines)) is not None:
             if TITLE.fullmatch(s[1].replace("9", "4").replace("444", "404")) or tags:
                 out.append(("title", s[1], s[0]))
         else:
             out.append(("page", page_mask(lines[0]), ""))
-    for line in lines:
-        if TOOL.fullmatch(line) or INSTRUCTION.fullmatch(line) or is_filler(line):
-            out.append(("sure", "line", ""))
-        elif SCRIPTS.search(line) and not SCRIPTS_ASIDE.match(line):
-            out.append(("sure", "scripts", ""))
+    for line, p in zip(lines, proposed):
+        if p is not None:
+            out.append(("told", p, content))
         out.extend(("slot", name, style) for style, name in slots_of(line) if not (tags and style == "<>"))
         out.extend(("line", fixed, value) for fixed, value in aligned_slots(line))
-    raw, diff = split_record(text)
     if form := form_of(raw):
-        if not any(value for _, value in form):
-            out.append(("sure", "blank", ""))
-        else:
-            labels = digest("\n".join(label for label, _ in form))
-            changed = digest("\n".join(x for x in diff.split("\n") if x[:1] in ("+", "-")) if diff else text)
-            out.extend(("form", f"{labels}:{k}", f"{digest(value) if value else ''}:{changed}") for k, (_, value) in enumerate(form))
+        labels = digest("\n".join(label for label, _ in form))
+        out.extend(("form", f"{labels}:{k}", f"{digest(value) if value else ''}:{changed}") for k, (_, value) in enumerate(form))
     return out
 
 
@@ -240,8 +262,8 @@ def evidence_rows(documents: DataFrame) -> DataFrame:
         for b in batches:
             ids, rows, at = b.column("doc_id"), [], []
             for k, text in enumerate(b.column("text").to_pylist()):
-                for e in dict.fromkeys(evidence(text)):
-                    rows.append(e)
+                for kind, key, detail in dict.fromkeys(evidence(text)):
+                    rows.append((kind, key, f"doc {ids[k]}" if kind == "told" and not detail else detail))
                     at.append(k)
             cols = list(zip(*rows)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays(
@@ -263,15 +285,32 @@ def aligned_names(lines: DataFrame, least_records: int) -> DataFrame:
 def form_documents(fields: DataFrame, least_records: int) -> DataFrame:
     """(doc_id) of forms all of whose fields are blank or keep what the template had there.
 
-    A default is kept by several records of different content, at a position that has as many values beside it.
+    A default is kept by several records of different content, at a position that has as many values beside it. The
+    sequence of labels must be that of several records of different content.
     """
-    parts = fields.select("doc_id", "key", F.split("detail", ":")[0].alias("value"), F.split("detail", ":")[1].alias("content"))
+    of_form = F.split("key", ":")[0]
+    parts = fields.select("doc_id", "key", F.split("detail", ":")[0].alias("value"), F.split("detail", ":")[1].alias("content"), of_form.alias("form"))
     kept = parts.where("value <> ''").groupBy("key", "value").agg(F.count_distinct("content").alias("n"))
     varying = kept.groupBy("key").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= least_records)
     defaults = kept.where(F.col("n") >= least_records).join(varying, "key", "left_semi").select("key", "value", F.lit(True).alias("own"))
     judged = parts.join(defaults, ["key", "value"], "left").withColumn("empty", F.col("own").isNotNull() | (F.col("value") == ""))
-    of_text = judged.groupBy("doc_id", F.split("key", ":")[0].alias("form"), "content").agg(F.min("empty").alias("empty"))
-    return of_text.where("empty").select("doc_id")
+    of_text = judged.groupBy("doc_id", "form", "content").agg(F.min("empty").alias("empty"))
+    aligned = parts.groupBy("form").agg(F.count_distinct("content").alias("records")).where(F.col("records") >= least_records)
+    return of_text.where("empty").join(aligned.select("form"), "form", "left_semi").select("doc_id")
+
+
+def told_documents(told: DataFrame, leaf: DataFrame, least_records: int) -> DataFrame:
+    """(doc_id) of records with a proposed line, or a proposed page, that recurs in records of different content."""
+    recurring = told.groupBy("key").agg(F.count_distinct("detail").alias("records")).where(F.col("records") >= least_records)
+    found = told.join(recurring.select("key"), "key", "left_semi")
+    # A page must be aligned in all its lines.
+    lines = leaf.select("doc_id", "key", *[F.split("detail", ":")[k].alias(n) for k, n in enumerate(("content", "line", "lines"))])
+    shared = lines.groupBy("key").agg(F.count_distinct("content").alias("records")).where(F.col("records") >= least_records)
+    met = lines.join(shared.select("key"), "key", "left_semi").groupBy("doc_id", "content", "lines").agg(F.count_distinct("line").alias("n"))
+    whole = met.where(F.col("n") == F.col("lines").cast("int")).select("doc_id", F.col("content").alias("detail"))
+    alone = F.col("key").startswith("page:") & ~F.col("detail").startswith("doc ")
+    pages = found.where(alone).join(whole, ["doc_id", "detail"], "left_semi")
+    return found.where(~alone).select("doc_id").unionByName(pages.select("doc_id"))
 
 
 def residue_documents(documents: DataFrame, least_styles: int = 2, least_records: int = 3) -> DataFrame:
@@ -279,15 +318,12 @@ def residue_documents(documents: DataFrame, least_styles: int = 2, least_records
 
     least_styles, least_records: under how many kinds of delimiters (or at how many aligned positions) and in how many
     records a name must have been left in place to count as a variable's name; in how many records a position, a
-    default or an HTML skeleton must repeat.
+    default, a proposed line or an HTML skeleton must repeat.
     """
-    from carex.session import materialise
-
     rows = materialise(evidence_rows(documents))
     slots = rows.where("kind = 'slot'")
     names = slots.groupBy("key").agg(F.count_distinct("detail").alias("styles"), F.approx_count_distinct("doc_id").alias("records"))
-    defaults = F.array(*[F.lit(n) for n in DEFAULT_NAMES])
-    known = names.where(F.array_contains(defaults, F.col("key")) | ((F.col("styles") >= least_styles) & (F.col("records") >= least_records)))
+    known = names.where((F.col("styles") >= least_styles) & (F.col("records") >= least_records))
     at_lines, by_form = aligned_names(rows.where("kind = 'line'"), least_records), form_documents(rows.where("kind = 'form'"), least_records)
     induced = at_lines.groupBy("name").agg(F.count_distinct("key").alias("positions")).where(F.col("positions") >= least_styles)
     known = known.select("key").unionByName(induced.select(F.col("name").alias("key"))).distinct()
@@ -296,5 +332,5 @@ def residue_documents(documents: DataFrame, least_styles: int = 2, least_records
     repeated = titles.groupBy("detail").agg(F.count_distinct("doc_id").alias("records")).where(F.col("records") >= least_records)
     pages = titles.join(repeated.select("detail"), "detail", "left_semi")
     plain = rows.where("kind = 'page'").join(pages.select("key").distinct(), "key", "left_semi")
-    sure = rows.where("kind = 'sure'").select("doc_id")
-    return sure.unionByName(by_slot).unionByName(pages.select("doc_id")).unionByName(plain.select("doc_id")).distinct()
+    told = told_documents(rows.where("kind = 'told'"), rows.where("kind = 'leaf'"), least_records)
+    return told.unionByName(by_slot).unionByName(pages.select("doc_id")).unionByName(plain.select("doc_id")).distinct()
