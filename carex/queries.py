@@ -46,7 +46,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return incremental.changes_by_run(table(spark, sf, "fhir_resources"), table(spark, sf, "pipeline_run"))
+    return incremental.replay_runs(table(spark, sf, "fhir_resources"), table(spark, sf, "pipeline_run"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

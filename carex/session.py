@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,9 +36,11 @@ _WRITTEN: list[tuple] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: what the session names in spark.checkpoint.dir.
 
-    Only where that is unset (tests, a laptop) a temporary one is made.
+    Only where that is unset on a local master (tests, a laptop) a temporary one is made.
     """
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if folder is None:
         folder = tempfile.mkdtemp(prefix="carex-", dir=os.environ.get("TMPDIR"))
         spark.sparkContext.setCheckpointDir(folder)
@@ -45,15 +48,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def work_folder(spark: SparkSession) -> str:
+    """A new name in the shared folder; what is written there is deleted like materialised tables."""
+    path = f"{shared_folder(spark)}/carex-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def materialise(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Write `df` once as a table in the shared folder and return a frame that reads it back.
 
     Lineage is cut, a lost executor costs nothing, later readers take only the columns they need, and the planner
     knows the size. The tables are deleted when the session's process ends, or before by `clear_materialised`.
+    by: columns that name the table's partitions.
     """
-    path = f"{shared_folder(df.sparkSession)}/carex-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((df.sparkSession, path))
+    path = work_folder(df.sparkSession)
+    df.write.partitionBy(*(by or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
