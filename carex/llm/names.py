@@ -129,7 +129,7 @@ def probe_keys(part: str) -> tuple[str, ...]:
     """The keys at which parts within the allowed edits of this one can lie: lengths around its own, starts moved so
     far as the edits before and behind a segment permit."""
     out, n = [], len(part)
-    for length in range(max(3, n - MOST_EDITS), n + MOST_EDITS + 1):
+    for length in range(max(1, n - MOST_EDITS), n + MOST_EDITS + 1):
         k, shift = allowed(length), n - length
         if abs(shift) > k:
             continue
