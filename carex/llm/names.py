@@ -12,8 +12,9 @@ parts) and what they share outweighs what differs. Records that agree with a thi
 milder rule, so that groups come out whole.
 
 Null and edge cases: a row without id or without a name is in no pair; rows delivered again count once (a row of an
-id is chosen by the order of its content). Parts of fewer than three letters are initials and never indexed. Empty
-tables give no pairs. Extra columns are ignored. Names of any length are compared whole.
+id is chosen by the order of its content). A single Latin letter is an initial and not indexed, unless the name has no
+other part; parts of two letters (Wu Li) and single characters of other scripts are names and are looked up without
+edits. A fact that only one record has is not multiplied with keys. Empty tables give no pairs. Extra columns are ignored. Names of any length are compared whole.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from carex.session import materialise
 
 # Titles and particles that people add to names or leave out.
 TITLES = frozenset("dr mr mrs ms miss prof professor herr frau mme monsieur madame sir jr sr ii iii iv md phd rev hon".split())
-PARTICLES = frozenset("von van de der den di da do dos del della la le du of el al ten ter zu zum".split())
+PARTICLES = frozenset("von van de der den di da do dos del della la le du of el al ten ter zu zum mc st".split())
 # Nicknames and the given names they stand for.
 NICKNAMES = {
     "abby": "abigail", "al": "albert alexander", "alex": "alexander alexandra", "andy": "andrew", "annie": "anneliese anna",
@@ -229,9 +230,15 @@ def shared_keys(r: dict) -> list[str]:
     return out
 
 
+def initial(part: str) -> bool:
+    return len(part) == 1 and part.isascii()
+
+
 def indexed_parts(r: dict) -> list[str]:
-    """The parts of a name of three letters or more, wherever they stand, and the names that its nicknames stand for."""
-    parts = sorted({p for p in r["family"] + r["given"] if len(p) >= 3}, key=lambda p: (-len(p), p))
+    """The parts of a name, wherever they stand, and the names that its nicknames stand for. Initials only if there is
+    nothing else."""
+    every = {*r["family"], *r["given"]}
+    parts = sorted({p for p in every if not initial(p)} or every, key=lambda p: (-len(p), p))
     return list(dict.fromkeys(parts + [full for p in r["given"] + r["family"] for full in NICKNAMES.get(p, "").split()]))
 
 
@@ -273,13 +280,13 @@ def name_agreement(a: dict, b: dict) -> tuple[float, float]:
     """(family, given): how well they agree, with the parts in whichever role fits better."""
 
     def one(fa, ga, fb, gb):
-        pairs = [(similar(x, y), x == y) for x in fa for y in fb if len(x) > 2 and len(y) > 2]
+        pairs = [(similar(x, y), x == y) for x in fa for y in fb if not initial(x) and not initial(y)]
         fam = 1.0 if any(e for _, e in pairs) else 0.9 if any(s for s, _ in pairs) else 0.0
         if not ga or not gb:
             return fam, 0.3 if fam else 0.0
         first = same_given(ga[0], gb[0])
         if first < 0.9:
-            cross = max((same_given(x, y) for x in ga for y in gb if len(x) > 1 and len(y) > 1), default=0.0)
+            cross = max((same_given(x, y) for x in ga for y in gb if not initial(x) and not initial(y)), default=0.0)
             first = max(first, 0.6 * cross)
         elif len(ga) > 1 and len(gb) > 1 and same_given(ga[1], gb[1]) == 0:
             first -= 0.3
@@ -290,22 +297,26 @@ def name_agreement(a: dict, b: dict) -> tuple[float, float]:
         for x, y in (((a["given"], a["family"]), (b["family"], b["given"])), ((a["family"], a["given"]), (b["given"], b["family"]))):
             ways.append(one(x[0], x[1], y[0], y[1]))
         every_a, every_b = a["family"] + a["given"], b["family"] + b["given"]
-        met = [(x, y) for x in every_a for y in every_b if len(x) > 2 and len(y) > 2 and (similar(x, y) or same_given(x, y) >= 0.9)]
-        if len({x for x, _ in met}) >= 2 and len({y for _, y in met}) >= 2:
+        met = [(x, y) for x in every_a for y in every_b if not initial(x) and not initial(y) and (similar(x, y) or same_given(x, y) >= 0.9)]
+        if len({x for x, _ in met}) >= 2 and len({y for _, y in met}) >= 2 and any(x in a["given"] and y in b["given"] or (x in a["given"]) != (y in b["given"]) for x, y in met):
             ways.append((0.9, 0.9))
     return max(ways, key=lambda w: (min(w), sum(w)))
 
 
 def one_person(a: dict, b: dict, mild: bool = False) -> bool:
     """Whether two records are of one person. mild: both agree with a third record already."""
-    family, given = name_agreement(a, b)
-    if given < 0.3:
-        return False
+    # What needs no names comes first: most pairs of a household or a birthday end here.
+    mail = not set(a["mails"]).isdisjoint(b["mails"])
     born = _born(a["born"], b["born"])
-    mail = bool(set(a["mails"]) & set(b["mails"]))
-    phone = bool(set(a["phones"]) & set(b["phones"]))
-    place = bool(set(a["places"]) & set(b["places"]))
-    if a["gender"] and b["gender"] and a["gender"] != b["gender"] and not (mail or (born == "same" and given >= 0.9)):
+    other_gender = a["gender"] and b["gender"] and a["gender"] != b["gender"]
+    if not mail and ((other_gender and born != "same") or (born == "other" and not (mild and _two_slips(a["born"], b["born"])))):
+        return False
+    phone = not set(a["phones"]).isdisjoint(b["phones"])
+    place = not set(a["places"]).isdisjoint(b["places"])
+    if not (mail or phone or place or mild or born == "same"):
+        return False
+    family, given = name_agreement(a, b)
+    if given < 0.3 or (other_gender and not mail and given < 0.9):
         return False
     if mild and born == "same":
         return given >= 0.5
@@ -327,8 +338,7 @@ def one_person(a: dict, b: dict, mild: bool = False) -> bool:
 
 
 def _features(patient: DataFrame, sites: DataFrame) -> DataFrame:
-    """(id, features, shared, index, probe) of each id with a name. Each shared fact goes with each key to index and
-    each key to look up; they are multiplied where they are hashed."""
+    """(id, features, shared, parts) of each id with a name."""
     known = {r.source_system: (r.zone_name, r.locale) for r in sites.select("source_system", "zone_name", "locale").collect()}
     once = patient.where("id is not null").groupBy("id").agg(
         F.min(F.struct("name", "gender", "birthDate", "telecom", "address", "source_system")).alias("p")
@@ -340,21 +350,38 @@ def _features(patient: DataFrame, sites: DataFrame) -> DataFrame:
         for b in batches:
             rows = b.to_pylist()
             born = norm([r["birthDate"] for r in rows], [r["source_system"] for r in rows], np.ones(len(rows), bool))
-            ids, features, shared, index, probe = [], [], [], [], []
+            ids, features, shared, parts = [], [], [], []
             for r, d in zip(rows, born):
                 x = record(r | {"born": d})
                 if x is None:
                     continue
                 ids.append(r["id"])
                 features.append(json.dumps(x, ensure_ascii=False))
-                parts = indexed_parts(x)
                 shared.append(shared_keys(x))
-                index.append(list(dict.fromkeys(k for p in parts for k in index_keys(p))))
-                probe.append(list(dict.fromkeys(k for p in parts for k in probe_keys(p))))
-            lists = [pa.array(c, pa.list_(pa.string())) for c in (shared, index, probe)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(features, pa.string()), *lists], ["id", "features", "shared", "index", "probe"])
+                parts.append(indexed_parts(x))
+            lists = [pa.array(c, pa.list_(pa.string())) for c in (shared, parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(features, pa.string()), *lists], ["id", "features", "shared", "parts"])
+
+    return rows.mapInArrow(make, "id string, features string, shared array<string>, parts array<string>")
+
+
+def _keys(every: DataFrame) -> DataFrame:
+    """(id, shared, index, probe): the facts that several records share, and the keys of the names of those that have any.
+
+    Each shared fact goes with each key to index and each key to look up; they are multiplied where they are hashed.
+    """
+    facts = every.select("id", F.explode("shared").alias("s"))
+    several = facts.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s")
+    kept = facts.join(several, "s", "left_semi").groupBy("id").agg(F.collect_list("s").alias("shared"))
+    rows = kept.join(every.select("id", "parts"), "id")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column("parts").to_pylist()
+            out = ([list(dict.fromkeys(k for p in parts for k in fn(p))) for parts in names] for fn in (index_keys, probe_keys))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("shared"), *(pa.array(c, pa.list_(pa.string())) for c in out)], ["id", "shared", "index", "probe"])
 
-    return rows.mapInArrow(make, "id string, features string, shared array<string>, index array<string>, probe array<string>")
+    return rows.mapInArrow(make, "id string, shared array<string>, index array<string>, probe array<string>")
 
 
 def hashed_keys(df: DataFrame, name: str, id_column: str, shared: str, keys: str) -> DataFrame:
@@ -384,8 +411,9 @@ def person_pairs(patient: DataFrame, sites: DataFrame) -> DataFrame:
     again until no pair is new, so groups come out whole however long their chains are.
     """
     every = materialise(_features(patient, sites))
-    index = hashed_keys(every, "i", "id", "shared", "index")
-    probe = hashed_keys(every, "j", "id", "shared", "probe")
+    keys = materialise(_keys(every))
+    index = hashed_keys(keys, "i", "id", "shared", "index")
+    probe = hashed_keys(keys, "j", "id", "shared", "probe")
     met = probe.join(index, "t").where("i <> j").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
     features = every.select("id", "features")
     links = fresh = materialise(_judge(met.distinct(), features, mild=False))

@@ -16,6 +16,10 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return addresses.place_pairs(table(spark, sf, "patient"))
 
 
+def p6_writings(spark: SparkSession, sf: str) -> DataFrame:
+    return addresses.place_writings(table(spark, sf, "patient"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf, "documents"))
 
@@ -32,6 +36,6 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p6_found, p8_ids, p9_mixture, p9_report, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p6_found, p6_writings, p8_ids, p9_mixture, p9_report, p10_found)}
 
 ORACLES: dict[str, str] = {}

@@ -90,3 +90,38 @@ def test_long_chains_come_out_whole(spark):
     phones = [("phone", f"212-555-01{k:02}", None) for k in range(9)]
     rows = [patient(f"a{k}", "Thornbury", ["Margaret"])[:4] + (phones[k : k + 2],) + patient("", "", [])[5:] for k in range(8)]
     assert pairs(spark, rows) == set(itertools.combinations([f"a{k}" for k in range(8)], 2))
+
+
+def test_short_names_and_other_scripts(spark):
+    facts = ("1960-03-04", "212-555-0101")
+    rows = [patient("a1", "Wu", ["Li"], *facts), patient("a2", "Wu", ["Li"], *facts), patient("a3", "Li", ["Wu"], *facts)]
+    rows += [patient("b1", "王", ["芳"], "1970-05-06", "212-555-0102"), patient("b2", "王", ["芳"], "1970-05-06", "212-555-0102")]
+    rows += [patient("c1", "Ng", ["Bo"], "1980-05-06", "212-555-0103"), patient("c2", "Ng", ["Bo"], "1980-05-06", "212-555-0103"), patient("d1", "Wu", ["An"], "1999-03-04", "212-555-0101")]
+    assert pairs(spark, rows) == {*itertools.combinations(("a1", "a2", "a3"), 2), ("b1", "b2"), ("c1", "c2")}
+
+
+def test_twins_with_a_family_name_of_two_parts(spark):
+    facts = ("1960-03-04", "212-555-0101")
+    rows = [patient("a1", "Garcia Lopez", ["Lukas"], *facts), patient("a2", "Garcia Lopez", ["Olivier"], *facts), patient("b1", "Mc Tamber", ["Ann"], *facts), patient("b2", "Mc Tamber", ["Zoe"], *facts)]
+    assert pairs(spark, rows) == set()
+
+
+def test_planted_variants_are_found(spark):
+    """Typos, swapped parts, initials and missing facts, planted into invented people: recall and precision."""
+    rng, rows, want = random.Random(5), [], set()
+    syllables = "bar del fen gor hal jen kir lom mar nor pel quin ros sel tor ul ver wen yar zan".split()
+    for k in range(250):
+        family, given, second = ("".join(rng.choices(syllables, k=n)).capitalize() for n in (3, 3, 2))
+        born, phone, mail = f"19{rng.randint(30, 99)}-{rng.randint(1, 12):02}-{rng.randint(13, 28)}", f"212-{rng.randint(200, 999)}-{k:04}", f"{given}.{k}@example.org"
+        variants = [
+            patient(f"{k:03}a", family, [given, second], born, phone, mail),
+            patient(f"{k:03}b", mistyped(rng, family, 1), [given], born, phone),
+            patient(f"{k:03}c", given, [family], born, None, mail),
+            patient(f"{k:03}d", family, [given[0] + "."], born, phone),
+        ]
+        rows += variants
+        want |= set(itertools.combinations([v[0] for v in variants], 2))
+        relative = "".join(rng.choices(syllables, k=3)).capitalize()
+        rows.append(patient(f"{k:03}r", family, [relative], f"19{rng.randint(30, 99)}-{rng.randint(1, 12):02}-{rng.randint(1, 12):02}", phone, gender="male"))
+    got = pairs(spark, rows)
+    assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.99 * len(got)
