@@ -140,7 +140,7 @@ def call(base, name: str, args: list, s: Scope) -> Typed:
     return fn(b if b is not None else s.this, args, s)
 
 
-NULLARY = {"Now", "Today", "TimeOfDay", "DateTime", "Date", "Time", "Coalesce", "Quantity", "Code", "Tuple", "AgeInYears", "AgeInMonths", "AgeInYearsAt", "AgeInDays", "Message"}
+NULLARY = {"Now", "Today", "TimeOfDay", "DateTime", "Date", "Time", "Coalesce", "Quantity", "Code", "Tuple", "AgeInYears", "AgeInMonths", "AgeInYearsAt", "AgeInMonthsAt", "AgeInDays", "AgeInDaysAt", "CalculateAgeInYears", "CalculateAgeInYearsAt", "CalculateAgeInMonths", "CalculateAgeInDays", "Message"}
 
 
 def _arg(args, k, s) -> Typed:
@@ -337,14 +337,36 @@ def _descendants(b, args, s):
 @register_function("repeat")
 def _repeat(b, args, s):
     """Transitive closure: the schema bounds its depth."""
-    found, level = [], b
-    for _ in range(10):
+    found, level, seen = [], b, set()
+    while True:
         level = _select(level, args, s)
         found.append(level)
-        if level.dtype.simpleString() != found[0].dtype.simpleString() or not isinstance(level.dtype, T.StructType):
+        kind = level.dtype.simpleString()
+        # Types nest finitely: a path that leads nowhere gives texts, and a type that comes again leads to itself.
+        if not isinstance(level.dtype, T.StructType) or kind in seen:
             break
-    found = [f for f in found if f.dtype.simpleString() == found[0].dtype.simpleString()]
-    return Typed(F.array_distinct(F.concat(*[f.array() for f in found])), found[0].dtype, True)
+        seen.add(kind)
+    if isinstance(found[-1].dtype, T.StringType) and isinstance(found[0].dtype, T.StructType):
+        found.pop()
+    kinds = {f.dtype.simpleString() for f in found}
+    if len(kinds) == 1:
+        return Typed(F.array_distinct(F.concat(*[f.array() for f in found])), found[0].dtype, True)
+    # Levels of several types: an element has the fields of all, those of its own type filled.
+    names: dict[str, T.DataType] = {}
+    for f in found:
+        for x in f.dtype.fields:
+            if not (isinstance(names.get(x.name), T.ArrayType) or x.name in names):
+                names[x.name] = x.dataType if not isinstance(x.dataType, (T.ArrayType, T.StructType)) else STR
+    whole = T.StructType([T.StructField(n, d) for n, d in names.items()])
+
+    def widen(f: Typed) -> Column:
+        def one(x: Column) -> Column:
+            made = [((F.to_json(x[n]) if isinstance(f.dtype[n].dataType, (T.ArrayType, T.StructType)) else x[n]).cast(d) if n in f.dtype.fieldNames() else F.lit(None).cast(d)).alias(n) for n, d in names.items()]
+            return F.struct(*made)
+
+        return F.transform(f.array(), one)
+
+    return Typed(F.array_distinct(F.concat(*[widen(f) for f in found])), whole, True)
 
 
 @register_function("aggregate")
@@ -655,16 +677,28 @@ def _time_from(b, args, s):
 @register_function("dateTime", "date")
 def _date_time(b, args, s):
     parts = [_arg(args, k, s).col.cast("int") for k in range(len(args))] + [F.lit(1)] * max(0, 3 - len(args))
-    if len(args) <= 3:
-        return Typed(F.make_date(*parts[:3]), T.DateType())
     parts += [F.lit(0)] * (6 - len(parts))
-    return Typed(F.make_timestamp_ntz(*parts[:6]), T.TimestampNTZType())
+    made = F.try_make_timestamp_ntz(*parts[:6])  # null for what no calendar has
+    return Typed(made.cast("date"), T.DateType()) if len(args) <= 3 else Typed(made, T.TimestampNTZType())
 
 
-def _age(unit: str):
+for _unit in ("year", "month", "week", "day", "hour", "minute"):
+    register_function(f"start of {_unit} of")(lambda b, args, s, _u=_unit: Typed(F.date_trunc(_u, moment(b)).cast("timestamp_ntz"), T.TimestampNTZType()))
+    register_function(f"end of {_unit} of")(
+        lambda b, args, s, _u=_unit: Typed(F.timestamp_add("MILLISECOND", F.lit(-1), cal.plus(F.date_trunc(_u, moment(b)).cast("timestamp_ntz"), F.lit(1), _u)), T.TimestampNTZType())
+    )
+
+
+def _age(unit: str, name: str):
+    """AgeIn…() and AgeIn…(born) as of now; AgeIn…At(at), CalculateAgeIn…At(born, at) at a time."""
+    at_time, given = name.endswith("At"), 2 if name.startswith("Calculate") and name.endswith("At") else 1
+
     def fn(b, args, s):
-        born = b if b.fields is None else field_of(b, "birthDate")
-        at = moment(_arg(args, 0, s)) if args else _now(b, [], s).col
+        trees = list(args)
+        at = moment(compile_tree(trees.pop(), s)) if at_time and trees else _now(b, [], s).col
+        born = compile_tree(trees[0], s) if trees else b if b.fields is None else field_of(b, "birthDate")
+        if born is None or len(args) > given:
+            raise PathError(f"{name} has no birth date here, or too many arguments")
         if not isinstance(born.dtype, T.StringType):
             return Typed(cal.duration(unit, moment(born), at), LONG)
         # A year or a month has an age only if its first and its last day give the same.
@@ -674,8 +708,9 @@ def _age(unit: str):
     return fn
 
 
-for _unit, _names in (("year", ("AgeInYears", "AgeInYearsAt", "CalculateAgeInYears", "CalculateAgeInYearsAt")), ("month", ("AgeInMonths", "AgeInMonthsAt")), ("day", ("AgeInDays", "AgeInDaysAt"))):
-    register_function(*_names)(_age(_unit))
+for _unit, _names in (("year", ("AgeInYears", "AgeInYearsAt", "CalculateAgeInYears", "CalculateAgeInYearsAt")), ("month", ("AgeInMonths", "AgeInMonthsAt", "CalculateAgeInMonths")), ("day", ("AgeInDays", "AgeInDaysAt", "CalculateAgeInDays"))):
+    for _name in _names:
+        register_function(_name)(_age(_unit, _name))
 
 
 def _boundary(high: bool):
@@ -772,22 +807,51 @@ def _reference_key(b, args, s):
     return Typed(F.when(ref.col.startswith(want), ref.col), STR)
 
 
+# Units of one dimension, which alone can be compared.
+DIMENSIONS = {
+    "mass": "kg g mg ug ng [lb_av] [oz_av] [stone_av]", "length": "m cm mm um km [in_i] [ft_i] [mi_i]", "time": "s min h d wk mo a year month week day hour minute second",
+    "temperature": "Cel K [degF]", "pressure": "mm[Hg] cm[Hg] kPa Pa bar", "mass concentration": "g/L g/dL mg/dL mg/L ug/mL kg/m3", "substance concentration": "mol/L mmol/L umol/L nmol/L",
+    "share": "% 1 {ratio}", "volume": "L dL mL uL m3",
+}
+
+
 @register_function("comparable")
 def _comparable(b, args, s):
-    x, y = b.one(), _arg(args, 0, s).one()
-    return Typed(x.col.getField("unit") == y.col.getField("unit"), BOOL)
+    """Whether two quantities have units of one dimension; units of no known one compare with themselves only."""
+    table = F.create_map(*[F.lit(x) for d, units in DIMENSIONS.items() for u in units.split() for x in (u, d)])
+    x, y = (t.one().col.getField("unit") for t in (b, _arg(args, 0, s)))
+    return Typed(F.coalesce(F.try_element_at(table, x) == F.try_element_at(table, y), x == y), BOOL)
 
 
-@register_function("subsumes", "subsumedBy")
-def _subsumes(b, args, s):
-    return Typed(_equal(b, _arg(args, 0, s)), BOOL)
+def _subsumption(up: bool):
+    def fn(b, args, s):
+        """Over the constant %hierarchy: a map from a code to itself and its ancestors (terminology.hierarchy_map)."""
+        if "hierarchy" not in s.constants:
+            raise PathError("subsumes needs the constant %hierarchy")
+        ancestors = s.constants["hierarchy"].col
+        x, y = text(b), text(_arg(args, 0, s))
+        low, high = (y, x) if up else (x, y)
+        known = F.try_element_at(ancestors, low)
+        return Typed(F.when(x.isNotNull() & y.isNotNull(), F.coalesce(F.array_contains(known, high), low == high)), BOOL)
 
+    return fn
+
+
+register_function("subsumes")(_subsumption(True))
+register_function("subsumedBy")(_subsumption(False))
 
-@register_function("message", "error")
+
+@register_function("message")
 def _message(b, args, s):
     return _arg(args, 0, s)
 
 
+@register_function("error")
+def _error(b, args, s):
+    """Fails on a row that reaches it, with the message."""
+    return Typed(F.raise_error(text(_arg(args, 0, s))).cast("string"), STR)
+
+
 # Nulls
 @register_function("isNull")
 def _is_null(b, args, s):
@@ -883,8 +947,15 @@ for _name in ("unionBy", "intersectBy", "exceptBy"):
 
 @register_function("slice")
 def _slice(b, args, s):
-    """The extensions of one address, as a named slice."""
-    return _extension(b, args[-1:], s)
+    """slice(url): the extensions of one address; slice(name, discriminator): the elements whose field `discriminator`
+    is `name`."""
+    if len(args) < 2:
+        return _extension(b, args, s)
+    name, field = text(_arg(args, 0, s)), args[1][1]
+    one = field_of(Typed(F.lit(None), b.dtype), field)
+    if one is None:
+        raise PathError(f"there is no field {field!r} to tell slices apart")
+    return Typed(F.filter(b.array(), lambda x: field_of(Typed(x, b.dtype), field).one().col.cast("string") == name), b.dtype, True)
 
 
 @register_function("checkModifiers")

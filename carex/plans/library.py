@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from carex.functions.path_compiler import Scope, Typed, compile_tree, literal
 from carex.functions.path_parser import Parser, PathError, tokens_of
@@ -128,6 +128,23 @@ class Library:
         return mine.run
 
 
+def per_patient(run: Callable[[str], DataFrame], patients: DataFrame, names: list[str], columns: dict[str, str] | None = None) -> DataFrame:
+    """One row a patient: id and, for each definition, the number of its rows of that patient.
+
+    A definition's rows name their patient by `columns` (default: id, or the reference of subject or patient).
+    """
+    from carex.operators.references import reference_key
+
+    out = patients.select("id").distinct()
+    for k, name in enumerate(names):
+        rows = run(name)
+        field = (columns or {}).get(name) or next(c for c in ("subject", "patient", "id") if c in rows.columns)
+        key = F.col(field) if isinstance(rows.schema[field].dataType, T.StringType) else F.col(field)["reference"]
+        counted = rows.groupBy(reference_key(key).alias(f"__k{k}")).agg(F.count(F.lit(1)).alias(f"__n{k}"))
+        out = out.join(counted, F.col("id") == F.col(f"__k{k}"), "left").withColumn(name, F.coalesce(f"__n{k}", F.lit(0))).drop(f"__k{k}", f"__n{k}")
+    return out
+
+
 def dependencies(lib: Library) -> dict[str, set[str]]:
     """The definitions of the library that each definition names."""
     out = {}

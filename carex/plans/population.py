@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from carex.functions.path_compiler import Scope, Typed, boolean, compile_tree, root_of
 from carex.functions.path_parser import Parser, PathError
+from carex.operators.references import reference_key
+from carex.operators.terminology import canonical_system
+from carex.session import materialise
 
 AGGREGATES = {
     "Count": lambda c: F.count(c), "Sum": F.sum, "Avg": F.avg, "Min": F.min, "Max": F.max, "StdDev": F.stddev_samp, "Variance": F.var_samp,
@@ -62,6 +65,14 @@ class QueryParser(Parser):
             return self.clauses([(src, self.identifier())])
         return src
 
+    def unary(self):
+        """exists over rows inside a condition: exists [R], exists ([R] r where ...)."""
+        at = 1 if self.peek(1)[1] == "(" else 0
+        if self.peek()[1] == "exists" and self.peek()[0] == "name" and self.peek(1 + at)[1] == "[" and self.peek(2 + at)[0] in ("name", "quoted"):
+            self.next()
+            return ("exists rows", self.source())
+        return super().unary()
+
     def source(self):
         if self.take("("):
             inner = self.statement()
@@ -173,15 +184,15 @@ class Population:
     def in_value_set(self, df: DataFrame, name: str, code_path: str = "code") -> DataFrame:
         """Rows with a code of the value set: a literal list where it is small, semi-joins beyond. A code of the set that
         has no system matches under any."""
-        codes = self.value_sets.where(F.col("valueset") == name).select("system", F.col("code").alias("vs_code")).distinct()
+        codes = self.value_sets.where(F.col("valueset") == name).select(canonical_system(F.col("system")).alias("system"), F.trim("code").alias("vs_code")).distinct()
         few = codes.limit(MOST_CODES + 1).collect()
         path = F.col(code_path).getField("coding") if "coding" not in code_path else F.col(code_path)
         if len(few) <= MOST_CODES:
             wanted = [r.vs_code for r in few if r.system is None]
             pairs = [f"{r.system}|{r.vs_code}" for r in few if r.system is not None]
-            return df.where(F.exists(path, lambda c: F.trim(c["code"]).isin(wanted or [None]) | F.concat(c["system"], F.lit("|"), F.trim(c["code"])).isin(pairs or [None])))
-        keyed = df.withColumn("__row", F.monotonically_increasing_id())
-        coded = keyed.select("__row", F.explode(path).alias("c")).select("__row", F.col("c.system").alias("c_system"), F.trim("c.code").alias("c_code"))
+            return df.where(F.exists(path, lambda c: F.trim(c["code"]).isin(wanted or [None]) | F.concat(canonical_system(c["system"]), F.lit("|"), F.trim(c["code"])).isin(pairs or [None])))
+        keyed = materialise(df.withColumn("__row", F.monotonically_increasing_id()))  # written once, so that the numbers stay
+        coded = keyed.select("__row", F.explode(path).alias("c")).select("__row", canonical_system(F.col("c.system")).alias("c_system"), F.trim("c.code").alias("c_code"))
         of_system = coded.join(codes.where("system is not null"), (F.col("c_system") == F.col("system")) & (F.col("c_code") == F.col("vs_code")), "left_semi")
         of_any = coded.join(codes.where("system is null"), F.col("c_code") == F.col("vs_code"), "left_semi")
         hits = of_system.unionByName(of_any)
@@ -208,10 +219,14 @@ class Population:
                 raise PathError(f"{tree[1]} needs one value a row: add return")
             return df.agg(AGGREGATES[tree[1]](F.col(df.columns[0])).alias("value"))
         if kind == "pick":
-            df = self._run(tree[2])
             if tree[1] == "exists":
-                return df.agg((F.count(F.lit(1)) > 0).alias("value"))
-            return df.limit(1)
+                return self._run(tree[2]).agg((F.count(F.lit(1)) > 0).alias("value"))
+            inner = tree[2]
+            if inner[0] != "query" or not inner[1]["sort"]:
+                raise PathError(f"{tree[1]} needs a query with sort by: rows have no order of their own")
+            if tree[1] == "Last":
+                inner = ("query", inner[1] | {"sort": [(by, not down) for by, down in inner[1]["sort"]], "reverse": True})
+            return self._run(inner).limit(1)
         raise PathError(f"{kind} is no statement")
 
     def _row(self, src, alias: str) -> DataFrame:
@@ -236,14 +251,26 @@ class Population:
             rows = self._row(src, alias)
             test = boolean(compile_tree(condition, scope({alias: Typed(F.col(f"`{alias}`"), rows.schema[alias].dataType)})))
             df = df.join(rows, test, "left_semi" if kind == "with" else "left_anti")
-        if q["where"] is not None:
-            df = df.where(boolean(compile_tree(q["where"], scope())))
+        for part in conjuncts(q["where"]):
+            kept = part[0] != "un" or part[1] != "not" or part[2][0] != "exists rows"
+            if kept and part[0] != "exists rows":
+                df = df.where(boolean(compile_tree(part, scope())))
+                continue
+            inner = part[1] if kept else part[2][1]
+            own = inner[1] if inner[0] == "query" else None
+            if own and len(own["sources"]) == 1 and own["where"] is not None and not (own["let"] or own["relations"] or own["aggregate"]):
+                (src, alias), test = own["sources"][0], own["where"]
+                rows = self._row(src, alias)
+                on = boolean(compile_tree(test, scope({alias: Typed(F.col(f"`{alias}`"), rows.schema[alias].dataType)})))
+            else:
+                rows, on = self._run(inner).limit(1).select(F.lit(1).alias("__any")), F.lit(True)  # one row says whether there are any
+            df = df.join(rows, on, "left_semi" if kept else "left_anti")
         if q["aggregate"] is not None:
             return self._fold(df, q, scope, names)
         if q["return"] is None:
             if len(q["sources"]) == 1:
                 alias = q["sources"][0][1]
-                sort = [self._order(compile_tree(b, scope({n: Typed(F.col(f"`{alias}`").getField(n), t.dataType.elementType if isinstance(t.dataType, T.ArrayType) else t.dataType, isinstance(t.dataType, T.ArrayType)) for n, t in ((f.name, f) for f in names[alias].dtype.fields)})), d) for b, d in q["sort"]]
+                sort = [self._order(compile_tree(b, scope({n: Typed(F.col(f"`{alias}`").getField(n), t.dataType.elementType if isinstance(t.dataType, T.ArrayType) else t.dataType, isinstance(t.dataType, T.ArrayType)) for n, t in ((f.name, f) for f in names[alias].dtype.fields)})), d, q.get("reverse", False)) for b, d in q["sort"]]
                 df = df.orderBy(*sort) if sort else df
                 return df.select(F.col(f"`{alias}`.*"))
             return df
@@ -255,12 +282,16 @@ class Population:
         out = out.distinct() if q["distinct"] else out
         if q["sort"]:
             r = root_of(out.schema)
-            out = out.orderBy(*[self._order(compile_tree(b, Scope(r, r, as_of=self.as_of)), d) for b, d in q["sort"]])
+            out = out.orderBy(*[self._order(compile_tree(b, Scope(r, r, as_of=self.as_of)), d, q.get("reverse", False)) for b, d in q["sort"]])
         return out
 
     @staticmethod
-    def _order(t: Typed, down: bool) -> Column:
-        return t.one().col.desc_nulls_last() if down else t.one().col.asc_nulls_last()
+    def _order(t: Typed, down: bool, reverse: bool = False) -> Column:
+        """Nulls come last, and so first where the order is turned round."""
+        c = t.one().col
+        if reverse:
+            return c.desc_nulls_first() if down else c.asc_nulls_first()
+        return c.desc_nulls_last() if down else c.asc_nulls_last()
 
     def _fold(self, df: DataFrame, q: dict, scope, names) -> DataFrame:
         """aggregate name starting x: e. A sum or product over the rows where e is one, so that it is combined map-side."""
@@ -274,6 +305,50 @@ class Population:
         raise PathError("an aggregate over rows adds to, or multiplies, its running value")
 
 
+def conjuncts(tree) -> list:
+    """The parts of a condition that all must hold."""
+    if tree is None:
+        return []
+    return conjuncts(tree[2]) + conjuncts(tree[3]) if tree[:2] == ("bin", "and") else [tree]
+
+
+def restricted(population: Population, ages: tuple[int | None, int | None] = (None, None), gender: str | None = None, ids: list[str] | None = None) -> Population:
+    """The population of the patients of some ages (whole years, both ends included, as of `as_of`), a gender, or ids;
+    other resources only where they refer to one of them. Resources without a reference to a patient stay whole."""
+    patients = population.tables["Patient"]
+    r = root_of(patients.schema)
+    s = Scope(r, r, as_of=population.as_of)
+
+    def holds(text: str) -> Column:
+        return F.coalesce(boolean(compile_tree(Parser(text).whole(), s)), F.lit(False))
+
+    for age, op in zip(ages, (">=", "<=")):
+        if age is not None:
+            patients = patients.where(holds(f"AgeInYears() {op} {int(age)}"))
+    if gender is not None:
+        patients = patients.where(F.col("gender") == gender)
+    if ids is not None:
+        patients = patients.where(F.col("id").isin(ids))
+    known, tables = patients.select(F.col("id").alias("__id")).distinct(), {"Patient": patients}
+    for kind, df in population.tables.items():
+        ref = next((c for c in ("subject", "patient", "beneficiary") if c in df.columns), None)
+        if kind != "Patient":
+            tables[kind] = df if ref is None else df.join(known, reference_key(F.col(f"{ref}.reference")) == F.col("__id"), "left_semi")
+    return Population(tables, population.value_sets, population.as_of, dict(population.parameters), dict(population.defines), dict(population.foreign))
+
+
+def by_context(df: DataFrame, reference: str, values: dict[str, tuple[str, str]] | None = None, as_of: str | None = None) -> DataFrame:
+    """Rows and statistics per context (what a reference path names): context, n and `values` (name -> (aggregate, path))."""
+    r = root_of(df.schema)
+    s = Scope(r, r, as_of=as_of)
+
+    def col(path: str) -> Column:
+        return compile_tree(Parser(path).whole(), s).one().col
+
+    made = [AGGREGATES[f](col(p)).alias(n) for n, (f, p) in (values or {}).items()]
+    return df.groupBy(reference_key(col(reference)).alias("context")).agg(F.count(F.lit(1)).alias("n"), *made)
+
+
 def group_statistics(df: DataFrame, by: dict[str, str], values: dict[str, tuple[str, str]], as_of: str | None = None) -> DataFrame:
     """Statistics per derived key. by: name -> path; values: name -> (aggregate, path)."""
     r = root_of(df.schema)

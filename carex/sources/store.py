@@ -101,8 +101,12 @@ def resource_counts(resources: DataFrame) -> DataFrame:
     return resources.groupBy("resource_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def from_jdbc(spark: SparkSession, url: str, table: str, column: str = "id", parts: int = 16, low: int = 0, high: int = 1 << 40, **options: str) -> DataFrame:
-    """A table of another database, read in parts by a numeric column."""
+def from_jdbc(spark: SparkSession, url: str, table: str, column: str = "id", parts: int = 16, low: int | None = None, high: int | None = None, **options: str) -> DataFrame:
+    """A table of another database, read in parts by a numeric column. Bounds that are not given are asked of the database."""
+    if low is None or high is None:
+        ask = f"(select min({column}) as low, max({column}) as high from {table}) bounds"
+        found = spark.read.jdbc(url, ask, properties=options).first()
+        low, high = (int(x) if given is None else given for given, x in ((low, found[0] or 0), (high, found[1] or 0)))
     return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)
 
 
@@ -127,6 +131,17 @@ def create_view(df: DataFrame, name: str, materialised: bool = False, mode: str
         df.createOrReplaceTempView(name)
 
 
+def create_schema(spark: SparkSession, name: str) -> None:
+    """A schema for tables, if there is none of that name."""
+    spark.sql(f"create schema if not exists `{name}`")
+
+
+def unreadable(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, corrupt): the lines of files that hold no JSON, which `read_lines` leaves out."""
+    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("corrupt"))
+    return rows.where("trim(corrupt) <> '' and try_parse_json(corrupt) is null")
+
+
 def catalog(spark: SparkSession) -> list[tuple[str, bool]]:
     """(name, whether it is temporary) of tables and views."""
     return [(t.name, t.isTemporary) for t in spark.catalog.listTables()]
