@@ -104,9 +104,10 @@ def view_reference_keys(spark, sf):
     return view_rows(table(spark, sf, "observation"), {"resource": "Observation", "select": [{"column": [{"name": "key", "path": "getResourceKey()"}, {"name": "patient_key", "path": "subject.getReferenceKey(Patient)"}]}]})
 
 
-@query("""select json_extract_string(resource, '$.id') as id, json_extract_string(resource, '$.status') as status, json_extract_string(resource, '$.subject.reference') as subject,
-  json_extract_string(resource, '$.code.coding[0].code') as code, try_cast(json_extract_string(resource, '$.valueQuantity.value') as double) as value
-  from fhir_resources where resource_type = 'Observation' and json_valid(resource) and json_type(resource) = 'OBJECT' and coalesce(json_type(resource, '$.code.coding'), 'ARRAY') = 'ARRAY'""")
+@query("""with docs as (select case when json_type(resource) = 'VARCHAR' then json_extract_string(resource, '$') else resource end as d from fhir_resources where resource_type = 'Observation' and json_valid(resource)),
+  objects as (select d from (select d from docs where json_valid(d)) where json_type(d) = 'OBJECT')
+  select json_extract_string(d, '$.id') as id, json_extract_string(d, '$.status') as status, json_extract_string(d, '$.subject.reference') as subject,
+  case json_type(d, '$.code.coding') when 'OBJECT' then json_extract_string(d, '$.code.coding.code') else json_extract_string(d, '$.code.coding[0].code') end as code, try_cast(json_extract_string(d, '$.valueQuantity.value') as double) as value from objects""")
 def view_of_json_store(spark, sf):
     ddl = "struct<id:string,status:string,subject:struct<reference:string>,code:struct<coding:array<struct<code:string>>>,valueQuantity:struct<value:double>>"
     rows = table(spark, sf, "fhir_resources")

@@ -51,8 +51,21 @@ def path_codecs(spark, sf):
     return _long(out, "parts")
 
 
-@query("""select id, case length(birthDate) when 4 then birthDate || '-01-01' when 7 then birthDate || '-01' when 10 then birthDate || 'T00:00:00.000+14:00' end as low,
-  case length(birthDate) when 4 then birthDate || '-12-31' when 10 then birthDate || 'T23:59:59.999-12:00' end as high from patient where regexp_full_match(birthDate, '[0-9]{4}(-[0-9]{2}-[0-9]{2})?')""")
+# Each date text with the days at its ends: a year, a month, a day or a moment of a day; nulls for any other text.
+_CLOCK = r"([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.][0-9]+)?)?"
+_ENDS = rf"""with sized as (select id, birthDate as t, case when regexp_full_match(birthDate, '[0-9]{{4}}') then 4 when regexp_full_match(birthDate, '[0-9]{{4}}-[0-9]{{2}}') then 7
+   when regexp_full_match(birthDate, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ]{_CLOCK}(Z|[+-][0-9]{{2}}:[0-9]{{2}})?)?') then 10 end as size from patient),
+  ends as (select *, try_cast(case size when 4 then t || '-01-01' when 7 then t || '-01' when 10 then substr(t, 1, 10) end as date) as a, regexp_extract(t, '[T ]({_CLOCK})', 1) as clock,
+   regexp_extract(t, ':[0-9]{{2}}([.][0-9]+)?(Z|[+-][0-9]{{2}}:[0-9]{{2}})$', 2) as zone from sized),
+  dated as (select *, case size when 4 then try_cast(t || '-12-31' as date) when 7 then last_day(a) else a end as z from ends)"""
+
+
+def _end(day: str, clock: str, zone: str) -> str:
+    whole = f"strftime({day}, '%Y-%m-%d')"
+    return f"case when size < 10 then {whole} when size = 10 then {whole} || 'T' || clock || substr('{clock}', length(clock) + 1) || case when zone = '' then '{zone}' else zone end end"
+
+
+@query(f"{_ENDS} select id, {_end('a', '00:00:00.000', '+14:00')} as low, {_end('z', '23:59:59.999', '-12:00')} as high from dated")
 def path_boundaries(spark, sf):
     return _paths(table(spark, sf, "patient"), "Patient", id="id", low="birthDate.lowBoundary()", high="birthDate.highBoundary()")
 
@@ -95,7 +108,7 @@ def date_arithmetic(spark, sf):
     return _paths(table(spark, sf, "patient"), "Patient", id="id", next_year="received_at + 1 year", before="received_at - 2 days", later="received_at + 36 hours", clock="time from received_at", new_year="Date(year from received_at, 1, 1)")
 
 
-@query("""select id, cast(extract(year from age(timestamp '2025-07-01', cast(birthDate as timestamp))) as bigint) as age from patient where regexp_full_match(birthDate, '(19|20)[0-9]{2}-(0[1-9]|1[0-2])-(0[1-9]|1[0-9]|2[0-8])')""")
+@query(f"{_ENDS} select id, case when date_sub('year', a, date '2025-07-01') = date_sub('year', z, date '2025-07-01') then date_sub('year', a, date '2025-07-01') end as age from dated")
 def date_ages(spark, sf):
     return _paths(table(spark, sf, "patient"), "Patient", id="id", age="AgeInYears()")
 
