@@ -9,7 +9,10 @@ from zoneinfo import ZoneInfo, available_timezones
 import numpy as np
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+FIRST_YEAR, RULES_YEAR, LAST_YEAR = 1900, 2100, 2500
+# The calendar and its weekdays repeat after 400 years, and so do the rules of a zone beyond RULES_YEAR.
+CYCLE = 146_097 * 86_400
+RULES = int((datetime(RULES_YEAR, 1, 1, tzinfo=timezone.utc) - EPOCH).total_seconds())
 
 # Abbreviations and their offsets in minutes, as printed by clocks of the zones that sources use.
 ABBREVIATIONS = {
@@ -66,6 +69,8 @@ def transitions(zone: str, version: str) -> tuple[np.ndarray, np.ndarray]:
 def local_to_utc(local: np.ndarray, zone: str, version: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(utc seconds, ok): ok only where the zone's clock showed the local time exactly once."""
     at, off = transitions(zone, version or tz_version())
+    shift = np.maximum((local - RULES) // CYCLE, 0) * CYCLE
+    local = local - shift
     until = np.append(at[1:], 2**62)
     i = np.searchsorted(at, local - 86400, side="right") - 1
     last = np.searchsorted(at, local + 86400, side="right") - 1
@@ -76,4 +81,4 @@ def local_to_utc(local: np.ndarray, zone: str, version: str | None = None) -> tu
         hit = (i + k <= last) & (at[j] <= u) & (u < until[j])
         hits += hit
         utc = np.where(hit, u, utc)
-    return utc, hits == 1
+    return utc + shift, hits == 1

@@ -4,11 +4,10 @@ Texts are tokenised into shape masks (digits become 9, letters a, all else stays
 parser once, and all texts of one mask are converted together: a mask fixes the place of every field, so a field is
 a slice of a matrix of characters. Times on a wall clock go through versioned tables of zone transitions.
 
-Null and edge cases: null, empty and blank texts, texts of more than 80 characters, dates or times that do not
-exist, times without a date, and days without a year have no normal form. A numeric day and month are read in the
+Null and edge cases: null, empty and blank texts, dates or times that do not exist, times without a date, and days without a year have no normal form. A numeric day and month are read in the
 order of the source's locale; of an unknown source only where both orders give one day. A time without a zone of an
 unknown source, and one that its clock showed never or twice, has no normal form. Digits beyond the millisecond are
-cut off. Repeated rows repeat in the result (a caller whose keys repeat drops them before, see `timestamp_rows`); tables
+cut off. Texts of any length are read whole. Repeated rows repeat in the result (a caller whose keys repeat drops them before, see `timestamp_rows`); tables
 without rows give none; extra columns are ignored.
 """
 
@@ -24,7 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from carex.functions.zones import ABBREVIATIONS, local_to_utc, tz_version, zone_names
 
-WIDTH = 80
+WIDTH = 80  # texts up to this length share one matrix; longer ones have matrices of their own length
+MOST_CHARS = 4_000_000  # of one matrix of longer texts
 
 # Names of the months in English, German and French, in lower case without points.
 MONTHS = {
@@ -80,8 +80,7 @@ def _clean(text: str | None) -> str:
         return ""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text.translate(_SPACES))
-    text = text.strip()
-    return text if len(text) <= WIDTH else ""
+    return text.strip()
 
 
 def _number(chars: np.ndarray, span: tuple[int, int]) -> np.ndarray:
@@ -236,21 +235,35 @@ class Normaliser:
         out = np.full(len(texts), None, dtype=object)
         if not len(texts):
             return out
-        clean = np.array([_clean(t) for t in texts], dtype=f"U{WIDTH}")
-        chars = clean.view(np.uint32).reshape(len(clean), WIDTH)
-        masks = np.where(chars < len(_CLASSES), _CLASSES[np.minimum(chars, len(_CLASSES) - 1)], ord("?")).astype(np.uint8)
-        masks, where = np.unique(np.ascontiguousarray(masks).view(f"S{WIDTH}").ravel(), return_inverse=True)
+        clean = np.array([_clean(t) for t in texts], dtype=object)
         site = [self.sites.get(s, (None, None)) for s in sources]
         zones = np.array([z or "" for z, _ in site], dtype=object)
         first = np.array([-1 if loc is None else int(loc == "en-US") for _, loc in site])
+        size = np.array([len(t) for t in clean])
+        groups = [(WIDTH, np.flatnonzero(size <= WIDTH))]
+        for n in np.unique(size[size > WIDTH]):
+            rows, most = np.flatnonzero(size == n), max(1, MOST_CHARS // int(n))
+            groups += [(int(n), rows[k : k + most]) for k in range(0, len(rows), most)]
+        for width, rows in groups:
+            if len(rows):
+                out[rows] = self._convert(clean[rows].astype(f"U{width}"), width, zones[rows], first[rows], date_only[rows])
+        return out
+
+    def _convert(self, clean: np.ndarray, width: int, zones: np.ndarray, first: np.ndarray, date_only: np.ndarray) -> np.ndarray:
+        """The normal forms of texts of at most `width` characters, mask by mask."""
+        out = np.full(len(clean), None, dtype=object)
+        chars = np.ascontiguousarray(clean).view(np.uint32).reshape(len(clean), width)
+        masks = np.where(chars < len(_CLASSES), _CLASSES[np.minimum(chars, len(_CLASSES) - 1)], ord("?")).astype(np.uint8)
+        masks, where = np.unique(np.ascontiguousarray(masks).view(f"S{width}").ravel(), return_inverse=True)
         order = np.argsort(where, kind="stable")
         for mask, rows in zip(masks, np.split(order, np.flatnonzero(np.diff(where[order])) + 1)):
             mask = mask.decode("ascii")
             if not mask:
                 continue
-            if mask not in self.parsers:
-                self.parsers[mask] = MaskParser(mask, self.version)
-            out[rows] = self.parsers[mask](clean[rows], chars[rows], zones[rows], first[rows], date_only[rows])
+            parser = self.parsers.get(mask) or MaskParser(mask, self.version)
+            if width <= WIDTH:
+                self.parsers[mask] = parser
+            out[rows] = parser(clean[rows], chars[rows], zones[rows], first[rows], date_only[rows])
         return out
 
 

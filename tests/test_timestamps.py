@@ -85,3 +85,13 @@ def test_rows_nulls_repeats_and_empty_tables(spark):
     assert normal_forms(timestamp_rows(df.limit(0), "t", "id", {"a": False}), sites.limit(0)).count() == 0
     with pytest.raises(Exception, match="release"):
         normal_forms(rows, sites, version="1999a").collect()
+
+
+def test_long_texts_and_far_years():
+    assert norm("2024-05-11T13:05:00." + "1" * 120 + "Z") == "2024-05-11T13:05:00.111Z"
+    assert norm("2024-05-11T13:05:00Z" + " " * 500) == "2024-05-11T13:05:00.000Z" and norm("2024 " * 300_000) is None
+    got = Normaliser(SITES)(["2024-05-11", "9" * 200, "2024-05-11T10:00:00." + "9" * 100 + "Z", None], [None] * 4, np.zeros(4, bool))
+    assert list(got) == ["2024-05-11", None, "2024-05-11T10:00:00.999Z", None]
+    for year in (2099, 2101, 2499, 2501, 2903, 9990):
+        assert norm(f"{year}-07-01T12:00:00", "berlin") == f"{year}-07-01T10:00:00.000Z"
+        assert norm(f"{year}-01-15T12:00:00", "ny") == f"{year}-01-15T17:00:00.000Z"
