@@ -8,7 +8,7 @@ from carex.catalog import _long, _paths, _population, query
 from carex.operators import terminology as term
 from carex.plans.library import Library, per_patient
 from carex.plans.population import by_context, restricted
-from carex.plans.views import view_rows
+from carex.plans.views import template, view_rows
 from carex.session import table
 
 
@@ -177,3 +177,12 @@ def view_this_and_literals(spark, sf):
     return view_rows(table(spark, sf, "patient"), view)
 
 
+@query("""select id, subject.reference as subject, code.coding[1].code as code, effectiveDateTime as effective, valueQuantity.value as value, valueQuantity.unit as unit from observation
+  where status in ('final', 'amended') and len([c for c in code.coding if c.code in ('2345-7', 'it''s')]) > 0""")
+def view_template_with_parameters(spark, sf):
+    return view_rows(table(spark, sf, "observation"), template("observations", codes=["2345-7", "it's"], status=["final", "amended"]))
+
+
+@query("""select id, family, gender from (select id, [x for x in name if x is not null][1].family as family, gender from patient where gender = 'female' and active)""")
+def view_template_demographics(spark, sf):
+    return view_rows(table(spark, sf, "patient"), template("demographics", gender="female", active=True)).select("id", "family", "gender")

@@ -145,3 +145,12 @@ def individual_reports(members: DataFrame, measure: Measure) -> DataFrame:
     )
     return members.select("subject", F.to_json(doc).alias("report"))
 
+
+def report_bundles(reports: DataFrame, pages: int = 1) -> DataFrame:
+    """(page, bundle): bundle documents of the reports (column report), each report in one page by its hash; `pages` says
+    over how many documents they are spread, so that no document grows with the subjects."""
+    page = F.pmod(F.xxhash64("report"), F.lit(pages)).cast("int")
+    entry = F.concat(F.lit('{"resource":'), F.col("report"), F.lit("}"))
+    listed = reports.groupBy(page.alias("page")).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    head = F.concat(F.lit('{"resourceType":"Bundle","type":"collection","total":'), F.size("e").cast("string"), F.lit(',"entry":['))
+    return listed.select("page", F.concat(head, F.array_join("e", ","), F.lit("]}")).alias("bundle"))

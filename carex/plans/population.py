@@ -361,24 +361,54 @@ def group_statistics(df: DataFrame, by: dict[str, str], values: dict[str, tuple[
     return df.groupBy(*keys).agg(*[AGGREGATES[f](col(p)).alias(n) for n, (f, p) in values.items()])
 
 
+def exact_median(values: DataFrame, column: str, most: int = 100_000) -> float | None:
+    """The exact median of a column of any size: the bracket that holds the middle ranks is narrowed by approximate
+    quantiles and counts until it has at most `most` rows or one value, and only those are brought to the driver."""
+    rows = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    n = rows.count()
+    if not n:
+        return None
+    first, last = (n - 1) // 2, n // 2  # ranks from 0
+    inside, below, size = rows, 0, n
+    while size > most:
+        cuts = sorted(set(inside.agg(F.percentile_approx("v", [k / 50 for k in range(51)], 10_000)).first()[0]))
+        if len(cuts) == 1:
+            return cuts[0]
+        counts = inside.agg(*[F.count_if(F.col("v") < c).alias(f"c{k}") for k, c in enumerate(cuts)], *[F.count_if(F.col("v") <= c).alias(f"e{k}") for k, c in enumerate(cuts)]).first()
+        low = max(k for k in range(len(cuts)) if k == 0 or below + counts[f"c{k}"] <= first)
+        high = min(k for k in range(len(cuts)) if k == len(cuts) - 1 or below + counts[f"e{k}"] > last)
+        if low == high:
+            return cuts[low]
+        held = counts[f"e{high}"] - counts[f"c{low}"]
+        if held >= size:  # a bracket of two values that repeat
+            upto = [below + counts[f"e{k}"] for k in range(len(cuts))]
+            of = [next(c for c, u in zip(cuts, upto) if u > rank) for rank in (first, last)]
+            return sum(of) / 2
+        below += counts[f"c{low}"]
+        inside, size = inside.where((F.col("v") >= cuts[low]) & (F.col("v") <= cuts[high])), held
+    kept = sorted(r.v for r in inside.collect())
+    return (kept[first - below] + kept[last - below]) / 2
+
+
 def patient_windows(df: DataFrame, patient: Column, at: Column, value: Column, tie: Column) -> DataFrame:
     """Per row: its number within the patient by time, the patient's rows and mean, and the side of the median.
 
-    The median of the whole population is one row from its own aggregate, so no window gathers all rows in a task.
+    No task holds a patient or the population: numbers are given within a patient's month and moved on by the rows of
+    its earlier months, counts and means are joined back (a hot patient is split by the planner), and the median comes
+    from `exact_median`.
     """
-    rows = df.select(patient.alias("patient"), at.alias("at"), value.alias("value"), tie.alias("tie"))
-    middle = rows.agg(F.median("value").alias("population_median"))
-    w = W.partitionBy("patient")
-    return (
-        rows.join(F.broadcast(middle))
-        .select(
-            "*",
-            F.row_number().over(w.orderBy("at", "tie")).alias("record_sequence"),
-            F.count(F.lit(1)).over(w).alias("patient_record_count"),
-            F.avg("value").over(w).alias("patient_avg"),
-        )
-        .withColumn("side", F.when(F.col("value") > F.col("population_median"), "Above").when(F.col("value") < F.col("population_median"), "Below").when(F.col("value").isNotNull(), "At Median"))
-    )
+    rows = df.select(patient.alias("patient"), at.alias("at"), value.alias("value"), tie.alias("tie")).withColumn("month", F.date_trunc("month", "at"))
+    middle = exact_median(rows, "value")
+    months = rows.groupBy("patient", "month").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.count("value").alias("c"))
+    of_patient, so_far = W.partitionBy("patient"), W.partitionBy("patient").orderBy("month")
+    months = months.select(
+        F.col("patient").alias("p"), F.col("month").alias("m"), (F.sum("n").over(so_far) - F.col("n")).alias("before"),
+        F.sum("n").over(of_patient).alias("patient_record_count"), F.try_divide(F.sum("s").over(of_patient), F.sum("c").over(of_patient)).alias("patient_avg"),
+    )
+    within = rows.withColumn("k", F.row_number().over(W.partitionBy("patient", "month").orderBy("at", "tie")))
+    joined = within.join(months, F.col("patient").eqNullSafe(F.col("p")) & F.col("month").eqNullSafe(F.col("m")))
+    side = F.when(F.col("value") > middle, "Above").when(F.col("value") < middle, "Below").when(F.col("value").isNotNull(), "At Median") if middle is not None else F.lit(None).cast("string")
+    return joined.select("patient", "at", "value", "tie", F.lit(middle).cast("double").alias("population_median"), (F.col("k") + F.col("before")).alias("record_sequence"), "patient_record_count", "patient_avg", side.alias("side"))
 
 
 def most_recent(df: DataFrame, key: Column, at: Column, tie: Column) -> DataFrame:

@@ -233,3 +233,88 @@ PRESETS = {
         ],
     },
 }
+
+
+def template(name: str, **parameters) -> dict:
+    """A view from a template with parameters; those that are None add no condition. `template_names` lists them."""
+    if name not in TEMPLATES:
+        raise ValueError(f"there is no template {name!r}; there are {template_names()}")
+    return TEMPLATES[name](**parameters)
+
+
+def template_names() -> list[str]:
+    return sorted(TEMPLATES)
+
+
+def _text(value: str) -> str:
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _one_of(path: str, values) -> str:
+    """A condition that a path has one of some values."""
+    return f"{path} in ({' | '.join(_text(v) for v in ([values] if isinstance(values, str) else values))})"
+
+
+def _conditions(view: ViewBuilder, **wanted) -> dict:
+    """The view with a condition for each path (dots written __) that has a value or values."""
+    for path, values in wanted.items():
+        if values is not None:
+            view.where(_one_of(path.replace("__", "."), values))
+    return view.build()
+
+
+def _observations(codes=None, category=None, status=None, **columns) -> dict:
+    view = ViewBuilder("Observation").columns(id="id", subject="subject.reference", code="code.coding.first().code", effective="effectiveDateTime", value="valueQuantity.value", unit="valueQuantity.unit", **columns)
+    if codes is not None:
+        view.where(f"code.coding.exists({_one_of('code', codes)})")
+    if category is not None:
+        view.where(f"category.coding.exists({_one_of('code', category)})")
+    return _conditions(view, status=status)
+
+
+def _coded(resource: str, at: str, status=None, codes=None, **columns) -> dict:
+    """Records of a type with subject, code and a time."""
+    view = ViewBuilder(resource).columns(id="id", subject="subject.reference", code="code.coding.first().code", display="code.coding.first().display", at=at, **columns)
+    if codes is not None:
+        view.where(f"code.coding.exists({_one_of('code', codes)})")
+    return _conditions(view, status=status)
+
+
+def _medications(status=None, intent=None) -> dict:
+    view = ViewBuilder("MedicationRequest").columns(id="id", subject="subject.reference", medication="medicationCodeableConcept.coding.first().code", display="medicationCodeableConcept.text", authored="authoredOn", status="status")
+    return _conditions(view, status=status, intent=intent)
+
+
+def _encounters(status=None, kind=None) -> dict:
+    view = ViewBuilder("Encounter").columns(id="id", subject="subject.reference", status="status", kind="class.code", start="period.start", end="period.end")
+    return _conditions(view, status=status, **{"class__code": kind})
+
+
+def _reports(status=None, codes=None) -> dict:
+    return _coded("DiagnosticReport", "effectiveDateTime", status, codes, conclusion="conclusion")
+
+
+def _identifiers(resource="Patient", system=None) -> dict:
+    path = "identifier" if system is None else f"identifier.where({_one_of('system', system)})"
+    return ViewBuilder(resource).columns(id="id").for_each(path, system="system", value="value", use="use").build()
+
+
+def _demographics(gender=None, active=None) -> dict:
+    view = ViewBuilder("Patient").columns(id="id", family="name.first().family", given="name.first().given.join(' ')", gender="gender", birth_date="birthDate")
+    if active is not None:
+        view.where("active" if active else "active.not()")
+    return _conditions(view, gender=gender)
+
+
+TEMPLATES = {
+    "demographics": _demographics,
+    "identifiers": _identifiers,
+    "observations": _observations,
+    "vital_signs": lambda **k: _observations(category="vital-signs", **k),
+    "lab_results": lambda **k: _observations(category="laboratory", **k),
+    "medications": _medications,
+    "encounters": _encounters,
+    "diagnostic_reports": _reports,
+    "conditions": lambda codes=None: _coded("Condition", "onsetDateTime", codes=codes, clinical="clinicalStatus.coding.first().code"),
+    "procedures": lambda status=None, codes=None: _coded("Procedure", "performedDateTime", status, codes),
+}
