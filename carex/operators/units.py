@@ -2,10 +2,11 @@
 
 A source is a label under which values of a quantity are recorded: a unit code, or a spelling of a unit. Sources are
 linked by what they share. A row that has both a code and a spelling is the same value in two sources (scale 1, offset
-0); values of one entity (patient and quantity) in two sources link them by their numbers. For each source and each of
-the `HUBS` most frequent sources of the quantity, scale and offset between the two are estimated from quantiles over
-the shared entities. Estimates are snapped to the known conversions of the quantity and propagated through this graph
-from the sources that are unit codes themselves, until no further source is resolved.
+0); values of one entity (patient and quantity) in two sources link them by their numbers. For any two sources of a
+quantity, scale and offset between the two are estimated from quantiles over the shared entities. Estimates are snapped
+to the known conversions of the quantity and propagated through this graph from the sources that are unit codes
+themselves, until no further source is resolved. Of the partners of a source that are resolved, the one with the most
+links speaks for it.
 
 A source with `LEAST_LINKS` shared entities is decided by the estimate: values whose middle or spread fit no known
 conversion are in no unit of the quantity ("points", or a label under which several units are mixed). Where rows write
@@ -36,7 +37,6 @@ LOCAL = "http://lab.example.org/local"
 # Signs that stand for a unit without being its name.
 SIGNS = {"'": "[ft_i]", "′": "[ft_i]", "’": "[ft_i]", '"': "[in_i]", "″": "[in_i]", "”": "[in_i]", "''": "[in_i]"}
 NUMBER = r"([0-9]+(?:[.,][0-9]+)?)\s*([^0-9]*)"
-HUBS = 4
 LEAST_LINKS = 50
 LEAST_LABELS = 3
 MOST_MISFIT = 1.0
@@ -153,32 +153,36 @@ def unit_in_texts(texts: Column, frames: Column, labels: Column) -> Column:
 
 
 def source_graph(values: DataFrame) -> DataFrame:
-    """(loinc_code, label, hub, links, qx, qy): for a source and a hub of its quantity, over the entities that both
-    have values of, the quantiles of the one and of the other.
+    """(loinc_code, label, partner, links, qx, qy): for any two sources of a quantity that share LEAST_LINKS entities,
+    in both directions, the quantiles of the one and of the other over these entities.
 
     values: entity, loinc_code, label, value. One mean stands for an entity within a source, so an entity with many
-    rows counts once, and joins at most HUBS times its sources; what is robust are the quantiles over the entities.
+    rows counts once, and joins as often as it has pairs of sources; what is robust are the quantiles over the entities.
     """
     one = materialise(values.where("entity is not null").groupBy("entity", "loinc_code", "label").agg(F.avg("value").alias("v")))
-    sizes = one.groupBy("loinc_code", "label").agg(F.count(F.lit(1)).alias("n"))
-    hubs = sizes.withColumn("k", F.row_number().over(W.partitionBy("loinc_code").orderBy(F.desc("n"), "label"))).where(F.col("k") <= HUBS)
-    of_hubs = one.join(checked_broadcast(hubs.select("loinc_code", "label")), ["loinc_code", "label"]).select("entity", "loinc_code", F.col("label").alias("hub"), F.col("v").alias("y"))
-    shared = one.join(of_hubs, ["entity", "loinc_code"]).where("label <> hub")
-    return shared.groupBy("loinc_code", "label", "hub").agg(
-        F.count(F.lit(1)).alias("links"), F.percentile_approx("v", QUANTILES, 1000).alias("qx"), F.percentile_approx("y", QUANTILES, 1000).alias("qy")
+    # Two sources share at most the entities of the smaller one, so sources below LEAST_LINKS have no pair that counts.
+    sizes = one.groupBy("loinc_code", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_LINKS)
+    linked = one.join(checked_broadcast(sizes.select("loinc_code", "label")), ["loinc_code", "label"], "left_semi")
+    x, y = linked.alias("x"), linked.alias("y")
+    shared = x.join(y, ["entity", "loinc_code"]).where("x.label < y.label")
+    pairs = shared.groupBy("loinc_code", F.col("x.label").alias("a"), F.col("y.label").alias("b")).agg(
+        F.count(F.lit(1)).alias("links"), F.percentile_approx("x.v", QUANTILES, 1000).alias("qa"), F.percentile_approx("y.v", QUANTILES, 1000).alias("qb")
     )
+    # Each pair is met once and read in both directions.
+    ways = [F.struct(F.col(a).alias("label"), F.col(b).alias("partner"), "links", F.col("q" + a).alias("qx"), F.col("q" + b).alias("qy")) for a, b in ("ab", "ba")]
+    return pairs.where(F.col("links") >= LEAST_LINKS).select("loinc_code", F.inline(F.array(*ways)))
 
 
 def estimated(edges: DataFrame) -> DataFrame:
-    """Edges with the scale and offset that take the values of the source to those of the hub."""
+    """Edges with the scale and offset that take the values of the source to those of the partner."""
     scale = F.try_divide(F.col("qy")[3] - F.col("qy")[1], F.col("qx")[3] - F.col("qx")[1])
     return edges.withColumn("scale", scale).withColumn("offset", F.col("qy")[2] - F.col("scale") * F.col("qx")[2])
 
 
 def misfit(scale: Column, offset: Column) -> Column:
-    """How far a known conversion from a source to a hub is from what the edge shows; 0 is a perfect fit.
+    """How far a known conversion from a source to a partner is from what the edge shows; 0 is a perfect fit.
 
-    Three distances are added: of the middles in quartile ranges of the hub, and of the two spreads (quartiles, tenths)
+    Three distances are added: of the middles in quartile ranges of the partner, and of the two spreads (quartiles, tenths)
     as logarithms of their ratio. Values in several units have spreads that no conversion explains.
     """
     least = F.greatest(F.abs(F.col("qy")[2]) * 0.01, F.lit(1e-9))
@@ -207,14 +211,15 @@ def unit_dictionary(rows: DataFrame, conversions: DataFrame) -> DataFrame:
     signs = rows.sparkSession.createDataFrame(list(SIGNS.items()), "label string, unit_code string")
     named = conversions.select("loinc_code", spelling(F.col("unit_code")).alias("label"), "unit_code", "factor", "shift")
     named = named.unionByName(conversions.join(F.broadcast(signs), "unit_code").select("loinc_code", "label", "unit_code", "factor", "shift"))
-    meaning = new = named.dropDuplicates(["loinc_code", "label"])
-    hubs = edges.select("loinc_code", F.col("hub").alias("label")).distinct()
+    meaning = named.dropDuplicates(["loinc_code", "label"])
     while True:
-        through = checked_broadcast(new).select("loinc_code", F.col("label").alias("hub"), F.col("factor").alias("hub_factor"), F.col("shift").alias("hub_shift"))
-        tried = edges.where(F.col("links") >= LEAST_LINKS).join(through, ["loinc_code", "hub"]).join(known, "loinc_code")
-        scale, offset = F.col("factor") / F.col("hub_factor"), (F.col("shift") - F.col("hub_shift")) / F.col("hub_factor")
-        fits = tried.select("loinc_code", "label", "unit_code", "links", misfit(scale, offset).alias("misfit"))
-        fits = fits.groupBy("loinc_code", "label", "unit_code").agg(F.max("links").alias("links"), F.max_by("misfit", "links").alias("misfit"))
+        # All that are resolved so far, so a late partner with few links does not undo what a better one refused.
+        meaning = checked_broadcast(meaning)
+        through = meaning.select("loinc_code", F.col("label").alias("partner"), F.col("factor").alias("its_factor"), F.col("shift").alias("its_shift"))
+        tried = edges.join(through, ["loinc_code", "partner"]).join(known, "loinc_code")
+        scale, offset = F.col("factor") / F.col("its_factor"), (F.col("shift") - F.col("its_shift")) / F.col("its_factor")
+        fits = tried.select("loinc_code", "label", "unit_code", "links", "partner", misfit(scale, offset).alias("misfit"))
+        fits = fits.groupBy("loinc_code", "label", "unit_code").agg(F.max_by("misfit", F.struct("links", "partner")).alias("misfit"))
         every = fits.join(exact, ["loinc_code", "label", "unit_code"], "full").join(written, ["loinc_code", "label"], "left")
         fitting = F.col("misfit") <= MOST_MISFIT
         by_codes = (F.col("n") > 0) & (F.col("misfit").isNull() | fitting | (2 * F.col("n") >= F.col("n_rows")))
@@ -223,8 +228,9 @@ def unit_dictionary(rows: DataFrame, conversions: DataFrame) -> DataFrame:
         sure = every.where(by_codes | (by_estimate & fitting)).withColumn("k", F.row_number().over(best)).where("k = 1")
         new = materialise(sure.join(meaning, ["loinc_code", "label"], "left_anti").join(known, ["loinc_code", "unit_code"]).select(meaning.columns))
         meaning = meaning.unionByName(new)
-        # Only a hub that is resolved anew can resolve others.
-        if new.join(hubs, ["loinc_code", "label"], "left_semi").isEmpty():
+        # Only a partner that is resolved anew can resolve others, and only what is not resolved yet.
+        open_edges = edges.join(meaning, ["loinc_code", "label"], "left_anti")
+        if open_edges.join(new.select("loinc_code", F.col("label").alias("partner")), ["loinc_code", "partner"], "left_semi").isEmpty():
             return meaning
 
 

@@ -75,3 +75,53 @@ def test_texts_are_read_by_learned_frames(spark):
     rows += [obs(50, value=70, note=[("kg taken as told",)]), obs(51, value=11, note=[("taken as stones today",)])]
     got = run(spark, rows)
     assert {k for k in got if k < 100} == {0, 1, 2, 51} and got[2] == ("w", 318)
+
+
+def test_any_source_can_be_the_partner(spark):
+    """ "zork" (pounds) shares patients with pounds only, "blorp" (stones) with "zork" only; four other sources are larger.
+
+    "points" fits what it shares with "blorp", but not the more patients that it shares with kilograms.
+    """
+    rng, rows = random.Random(3), []
+    for i in range(300):
+        kg = rng.uniform(50, 110)
+        for k, (unit, ucum, f) in enumerate([("kilos", "kg", 1), ("stones", "[stone_av]", 1 / 6.350293)]):
+            rows.append(obs(10000 + 2 * i + k, value=round(kg * f, 3), unit=unit, ucum=ucum, patient=f"p{i}"))
+        if i < 200:
+            rows.append(obs(50000 + i, value=round(kg * rng.choice([1, 2.2046, 0.1575]), 2), unit="points", patient=f"p{i}"))
+    for i in range(200):
+        kg, patient = rng.uniform(50, 110), f"q{i}"
+        if i < 80:
+            rows.append(obs(20000 + i, value=round(kg / 0.453592, 2), ucum="[lb_av]", patient=patient))
+        if i < 150:
+            rows.append(obs(30000 + i, value=round(kg / 0.453592, 2), unit="zork", patient=patient))
+        if i >= 80:
+            rows.append(obs(40000 + i, value=round(kg / 6.350293, 3), unit="blorp", patient=patient))
+        if i >= 140:
+            rows.append(obs(60000 + i, value=round(kg, 2), unit="points", patient=patient))
+    rows += [obs(1, value=100, unit="zork"), obs(2, value=10, unit="blorp"), obs(3, value=80, unit="points")]
+    got = run(spark, rows)
+    assert got[1] == ("w", 454) and got[2] == ("w", 635) and 3 not in got
+    assert len([k for k in got if 30000 <= k < 50000]) == 150 + 120 and not any(k >= 50000 for k in got)
+
+
+def test_every_pair_of_sources_is_an_edge(spark):
+    from carex.operators import units
+
+    rng, means = random.Random(4), {}
+    for e in range(150):
+        for s in rng.sample(range(12), rng.randint(4, 11)) if e else range(12):
+            means[e, f"s{s:02}"] = rng.uniform(1, 9)
+    rows = [(f"e{e}", "w", s, v + d) for (e, s), v in means.items() for d in (-0.5, 0.5)]  # two rows, one mean
+    rows += [(f"e{e}", "w", "rare", 1.0) for e in range(units.LEAST_LINKS - 1)] + [(None, "w", "s00", 1.0)]
+    got = units.source_graph(spark.createDataFrame(rows, "entity string, loinc_code string, label string, value double")).collect()
+    shared = {}
+    for (e, a), v in means.items():
+        for b in {s for x, s in means if x == e and s != a}:
+            shared.setdefault((a, b), []).append((v, means[e, b]))
+    want = {k: v for k, v in shared.items() if len(v) >= units.LEAST_LINKS}
+    assert len(want) > 2 * 4 * 12 and {(r.label, r.partner): r.links for r in got} == {k: len(v) for k, v in want.items()}
+    for r in got:
+        xs, ys = (sorted(p[k] for p in want[r.label, r.partner]) for k in (0, 1))
+        middle = (len(xs) + 1) // 2 - 1
+        assert abs(r.qx[2] - xs[middle]) < 1e-9 and abs(r.qy[2] - ys[middle]) < 1e-9
